@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, lm_scoring, simhash, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, license_scan, lm_scoring, simhash, toxicity, url_filter
 from .common import table
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -24,6 +25,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    item_ids = F.transform("items", lambda x: x["item_id"])
+    return found.select("doc_id", "contaminated", F.size("items").alias("n_items"), item_ids.alias("item_ids"), F.array_min(F.transform("items", lambda x: x["edits"])).alias("least_edits"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     """`tokenizer_path`: the vocabulary file, at the same place on every machine; the public one by default."""
     if tokenizer_path is None:
@@ -50,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_license_scan": op4_license_scan,
+    "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_toxicity": op8_toxicity,
