@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, license_scan, lm_scoring, simhash, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, license_scan, lm_scoring, pii, simhash, toxicity, url_filter
 from .common import table
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,6 +53,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str, key: bytes = pii.TEST_KEY) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lm_scoring": op7_lm_scoring,
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
