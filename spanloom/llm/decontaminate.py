@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,8 +218,6 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, q: int = GRAM, budget:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = GRAM, budget: float = BUDGET) -> DataFrame:
     """Rows of `docs` that hold no benchmark item, all columns as they were; judged where they are read."""
-    import pandas as pd
-
     def clean(block: list[tuple[int, str]]):
         index = Index(block, q, budget)
 

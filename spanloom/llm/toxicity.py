@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -242,8 +243,6 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of `docs` not predicted toxic, all columns as they were; the text is judged where it is read, nothing moves."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def clean(text: pd.Series) -> pd.Series:
         return pd.Series([model.judged(t)[0] < 0.5 for t in text], dtype=bool)
