@@ -4,8 +4,8 @@ A text is cut into lines: after line feeds and after a punctuation mark followed
 inside a longer paragraph still has whole lines. Every GRAM consecutive lines have a hash; of each window of
 WINDOW such hashes the least is selected, so any repeated run of GRAM + WINDOW - 1 lines shares a selected anchor
 wherever it stands (Schleimer, Wilkerson and Aiken 2003); shorter runs with enough words are anchors themselves.
-Anchors are joined with the first place where they occur, by (doc_id, row, line), and never with each other; the
-alignment so found is extended over all lines of both texts on that diagonal. Only DataFrame functions.
+Anchors are joined with the first place where they occur, by (doc_id, row, line), and never with each other; each
+match is extended both ways, and runs of matched lines with enough words are deleted. Only DataFrame functions.
 """
 
 from __future__ import annotations
@@ -27,17 +27,17 @@ def _lines(text: Column) -> Column:
 
 
 def _anchors(h: Column, w: Column, g: Column, least: int) -> Column:
-    """array of (fp, at): selected hashes and the line they start at. g: the hash of the GRAM lines from each on."""
+    """array of (fp, at, k): selected hashes of k lines and the line they start at. g: the hash of the GRAM lines from each on."""
     at = lambda a, i: F.get(a, i)  # noqa: E731  null outside
-    none = F.array().cast("array<struct<fp:bigint,at:int>>")
+    none = F.array().cast("array<struct<fp:bigint,at:int,k:int>>")
     long_enough = lambda i, k: sum((at(w, i + j) for j in range(1, k)), at(w, i)) >= least
     # Window minima, the left one of equals; and grams that have the words by themselves.
     chosen = lambda x, i: F.coalesce(x <= at(g, i + 1), i == 0) | F.coalesce(x < at(g, i - 1), F.lit(False)) | long_enough(i, GRAM)
-    of = lambda fp, i: F.struct(fp.alias("fp"), i.alias("at"))
+    of = lambda fp, i, k: F.struct(fp.alias("fp"), i.alias("at"), F.lit(k).alias("k"))
     kept = lambda array: F.coalesce(F.filter(array, lambda x: x.isNotNull()), none)
-    grams = kept(F.transform(g, lambda x, i: F.when(chosen(x, i), of(x, i))))
-    ones = kept(F.transform(w, lambda x, i: F.when(x >= least, of(at(h, i), i))))
-    twos = kept(F.transform(w, lambda x, i: F.when((x < least) & (at(w, i + 1) < least) & long_enough(i, 2), of(F.xxhash64(at(h, i), at(h, i + 1)), i))))
+    grams = kept(F.transform(g, lambda x, i: F.when(chosen(x, i), of(x, i, GRAM))))
+    ones = kept(F.transform(w, lambda x, i: F.when(x >= least, of(at(h, i), i, 1))))
+    twos = kept(F.transform(w, lambda x, i: F.when((x < least) & (at(w, i + 1) < least) & long_enough(i, 2), of(F.xxhash64(at(h, i), at(h, i + 1)), i, 2))))
     return F.concat(grams, ones, twos)
 
 
@@ -59,34 +59,23 @@ def lines_of(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def repeats(lines: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """row, runs (start, end, words), copies_of for each row of `lines` with a run that occurs earlier."""
-    slim = lines.select("row", "doc_id", "h", "w")
-    place = lambda at: F.struct("doc_id", "row", at.alias("at"))
-    spots = slim.select("row", "doc_id", "h", "w", _grams(F.col("h")).alias("g"))
-    spots = spots.select("row", "doc_id", F.explode(_anchors(F.col("h"), F.col("w"), F.col("g"), least)).alias("x")).select("row", "doc_id", F.col("x.fp").alias("fp"), F.col("x.at").alias("at"))
-    first = spots.groupBy("fp").agg(F.min(place(F.col("at"))).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp", "first")
-    pairs = (
-        spots.join(first, "fp")
-        .filter("row <> first.row or at <> first.at")
-        .select("row", F.col("first.row").alias("row0"), F.col("first.doc_id").alias("doc0"), (F.col("at") - F.col("first.at")).alias("diagonal"))
-        .distinct()
-    )
-    source = slim.select(F.col("row").alias("row0"), F.col("h").alias("h0"))
-    target = slim.select("row", "h", "w")
-    both = pairs.join(source, "row0").join(target, "row")
-    shift = F.col("diagonal")
-    low, high = F.greatest(shift, F.lit(0)), F.least(F.size("h"), F.size("h0") + shift) - 1
-    same = lambda i: F.get(F.col("h"), i) == F.get(F.col("h0"), i - shift)
-    both = both.select("row", "row0", "doc0", "w", F.when(high >= low, F.filter(F.sequence(low, high), same)).otherwise(F.array().cast("array<int>")).alias("equal"))
-    # Lone equal lines on the diagonal are chance; runs of GRAM lines, or of enough words, are matches.
-    grown = both.select("row", "row0", "doc0", "w", _runs(F.col("equal"), F.col("w")).alias("runs"))
-    matched = F.filter("runs", lambda r: (r["end"] - r["start"] >= GRAM) | (r["words"] >= least))
-    grown = grown.select("row", "doc0", "w", F.flatten(F.transform(matched, lambda r: F.sequence(r["start"], r["end"] - 1))).alias("covered")).filter("size(covered) > 0")
-    cover = grown.groupBy("row").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("covered"), F.array_sort(F.collect_set("doc0")).alias("copies_of"), F.first("w").alias("w")
-    )
-    runs = F.filter(_runs(F.col("covered"), F.col("w")), lambda r: r["words"] >= least)
-    return cover.select("row", runs.alias("runs"), "copies_of").filter("size(runs) > 0")
+    """row, covered (numbers of lines that occur earlier, sorted), copies_of, for rows of `lines` that have any.
+
+    A run of equal lines has an anchor in every window, so beyond its outermost anchors lie fewer than WINDOW
+    lines: each match grows both ways by the neighbours that travel with the anchor, and the matches of a row
+    join into its runs. What meets at one key is one row per task for the first place, and is never paired.
+    """
+    slim = lines.select("row", "doc_id", "h", "w", _grams(F.col("h")).alias("g"))
+    spots = slim.select("row", "doc_id", "h", F.explode(_anchors(F.col("h"), F.col("w"), F.col("g"), least)).alias("x"))
+    line = lambda i: F.get(F.col("h"), i)
+    spots = spots.select("doc_id", "row", "x.fp", "x.at", "x.k", line(F.col("x.at") - 1).alias("before"), line(F.col("x.at") + F.col("x.k")).alias("after"))
+    first = spots.groupBy("fp").agg(F.min(F.struct("doc_id", "row", "at", "before", "after")).alias("first"), F.count(F.lit(1)).alias("n"))
+    later = spots.join(first.filter("n > 1"), "fp").filter("row <> first.row or at <> first.at")
+    start = F.col("at") - F.coalesce(F.col("before") == F.col("first.before"), F.lit(False)).cast("int")
+    end = F.col("at") + F.col("k") + F.coalesce(F.col("after") == F.col("first.after"), F.lit(False)).cast("int")
+    spans = later.select("row", F.struct(start.alias("a"), (end - 1).alias("b")).alias("span"), F.col("first.doc_id").alias("source"))
+    covered = F.flatten(F.transform(F.collect_set("span"), lambda s: F.sequence(s["a"], s["b"])))
+    return spans.groupBy("row").agg(F.array_sort(F.array_distinct(covered)).alias("covered"), F.array_sort(F.collect_set("source")).alias("copies_of"))
 
 
 def _runs(places: Column, w: Column) -> Column:
@@ -103,16 +92,16 @@ def _runs(places: Column, w: Column) -> Column:
     )
 
 
-def _report(lines: DataFrame, found: DataFrame) -> DataFrame:
-    none = F.array().cast("array<struct<start:int,end:int,words:int>>")
+def _report(lines: DataFrame, found: DataFrame, least: int) -> DataFrame:
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    return lines.join(found, "row", "left").withColumns(
+    out = lines.join(found, "row", "left").withColumn("covered", F.coalesce("covered", F.array().cast("array<int>")))
+    out = out.withColumn("runs", F.filter(_runs(F.col("covered"), F.col("w")), lambda r: r["words"] >= least))
+    return out.withColumns(
         {
-            "runs": F.coalesce("runs", none),
-            "copies_of": F.coalesce("copies_of", F.array().cast("array<long>")),
+            "copies_of": F.when(F.size("runs") > 0, F.col("copies_of")).otherwise(F.array().cast("array<long>")),
             "n_lines": F.size("h").cast("long"),
             "n_words": total(F.col("w")),
-            "removed_words": total(F.transform(F.coalesce("runs", none), lambda r: r["words"])),
+            "removed_words": total(F.transform("runs", lambda r: r["words"])),
         }
     )
 
@@ -126,12 +115,12 @@ def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     second of two repeated rows repeats the first. Other columns are ignored.
     """
     lines = lines_of(docs)
-    return _report(lines, repeats(lines, least)).select("doc_id", "n_lines", "n_words", "removed_words", "runs", "copies_of")
+    return _report(lines, repeats(lines, least), least).select("doc_id", "n_lines", "n_words", "removed_words", "runs", "copies_of")
 
 
 def delete_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """doc_id and text without the runs that repeated_runs reports, one row per row of `docs`; all other characters stay."""
     lines = lines_of(docs, with_text=True)
-    out = _report(lines, repeats(lines, least))
+    out = _report(lines, repeats(lines, least), least)
     left = F.filter(_lines(F.col("text")), lambda x, i: ~F.exists("runs", lambda r: (r["start"] <= i) & (i < r["end"])))
     return out.select("doc_id", F.when(F.size("runs") > 0, F.array_join(left, "")).otherwise(F.coalesce("text", F.lit(""))).alias("text"))
