@@ -5,6 +5,8 @@ A span is a struct with start and end, code points from 0, end exclusive. Nothin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def piece(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once; an expression that a lambda mentions twice would else run twice."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def find(text: Column, pattern: str | Column, group: int | None = None, gate: str | None = None) -> Column:
     """All matches with offsets. group: the span is that group, and group - 1 holds all that precedes it in the match.
 
@@ -29,32 +36,33 @@ def find(text: Column, pattern: str | Column, group: int | None = None, gate: st
     gate: a cheaper regex without which nothing can match. A pattern column may be built from data.
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    whole, between = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, p, -1)
-    step = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(
-        F.arrays_zip(whole.alias("m"), F.slice(between, F.lit(1), F.size(whole)).alias("b")),
-        step,
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"), F.array_append(acc["starts"], acc["at"] + F.length(x["b"])).alias("starts")
-        ),
-        lambda acc: acc["starts"],
-    )
-    span = lambda s, t: F.struct(s.alias("start"), (s + F.length(t)).alias("end"), t.alias("text"))
-    if group is None:
-        found = F.zip_with(starts, whole, span)
-    else:
-        lead, value = (F.regexp_extract_all(text, p, F.lit(g)) for g in (group - 1, group))
-        found = F.zip_with(F.zip_with(starts, lead, lambda s, x: s + F.length(x)), value, span)
+    all_of = lambda g: F.regexp_extract_all(text, p, F.lit(g))
+    columns = [all_of(0).alias("m"), F.split(text, p, -1).alias("b")]
+    if group is not None:
+        columns += [all_of(group - 1).alias("lead"), all_of(group).alias("value")]
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + F.length(x["b"])
+        start, value = (at, x["m"]) if group is None else (at + F.length(x["lead"]), x["value"])
+        span = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("text"))
+        # The last piece between matches has no match after it.
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct((at + F.length(x["m"])).alias("at"), F.array_append(acc["out"], span).alias("out")))
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    found = F.aggregate(F.arrays_zip(*columns), empty, step, lambda acc: acc["out"])
     hit = text.rlike(gate) if gate else F.rlike(text, p)
     return F.when(hit, found).otherwise(F.array().cast(SPAN))
 
 
 def trimmed(span: Column) -> Column:
     """Without outer white space and trailing , . ; : | -"""
-    left = F.regexp_replace(span["text"], r"\A(?U)\s+", "")
-    start = span["start"] + F.length(span["text"]) - F.length(left)
-    kept = F.regexp_replace(left, r"(?U)[\s,.;:|-]+\z", "")
-    return F.struct(start.alias("start"), (start + F.length(kept)).alias("end"), kept.alias("text"))
+
+    def cut(left: Column) -> Column:
+        start = span["end"] - F.length(left)
+        kept = F.regexp_replace(left, r"(?U)[\s,.;:|-]+\z", "")
+        return let(kept, lambda k: F.struct(start.alias("start"), (start + F.length(k)).alias("end"), k.alias("text")))
+
+    return let(F.regexp_replace(span["text"], r"\A(?U)\s+", ""), cut)
 
 
 def digits_in(text: Column) -> Column:

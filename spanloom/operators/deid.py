@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.text import CANDIDATE, SPAN, digits_in, find, kept_in_order, labelled, piece, public, render, resolve, rx, trimmed
+from ..functions.text import CANDIDATE, SPAN, digits_in, find, kept_in_order, labelled, let, piece, public, render, resolve, rx, trimmed
 
 P = v.PRIORITY
 
@@ -53,22 +53,30 @@ def date_layer(text: Column) -> Column:
     none = F.array().cast("array<struct<start:int,end:int,kind:string,year:int>>")
     left = lambda s: piece(text, F.greatest(s["start"] - 30, F.lit(0)), s["start"])
     kind = lambda s: F.when(left(s).rlike(rx(v.BIRTH_CUE, True)), "DATE_OF_BIRTH").when(left(s).rlike(rx(v.ENCOUNTER_CUE, True)), "ENCOUNTER_DATE")
-    year = lambda s: F.coalesce(F.expr("0") + F.when(s["text"].rlike(r"\d{4}"), F.regexp_extract(s["text"], r"\d{4}", 0).cast("int")), F.lit(0))
+    year = lambda s: F.coalesce(F.regexp_extract(s["text"], r"\d{4}", 0).try_cast("int"), F.lit(0))
     dates = F.transform(
         find(text, rx(v.DATE), gate=r"\d"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind"), year(s).alias("year"))
     )
-    cued = F.filter(dates, lambda d: d["kind"].isNotNull())
-    bare = F.coalesce(F.filter(dates, lambda d: d["kind"].isNull()), none)
-    has_birth = F.exists(cued, lambda d: d["kind"] == "DATE_OF_BIRTH")
-    earliest = F.array_min(F.transform(bare, lambda d: F.struct(d["year"].alias("year"), d["start"].alias("start"))))["start"]
-    birth = lambda d: ~has_birth & (F.size(bare) > 1) & (d["start"] == earliest)
     candidate = lambda d, label, rank, source: F.struct(
         d["start"].alias("start"), d["end"].alias("end"), label.alias("label"), F.lit(rank).alias("priority"), F.lit(source).alias("source")
     )
-    return F.concat(
-        F.transform(cued, lambda d: candidate(d, d["kind"], P["date cue"], "cue")),
-        F.transform(bare, lambda d: candidate(d, F.when(birth(d), "DATE_OF_BIRTH").otherwise("ENCOUNTER_DATE"), P["date inferred"], "inferred")),
-    )
+
+    def with_inference(dates: Column) -> Column:
+        bare = F.coalesce(F.filter(dates, lambda d: d["kind"].isNull()), none)
+        born = F.exists(dates, lambda d: F.coalesce(d["kind"] == "DATE_OF_BIRTH", F.lit(False)))
+        several = ~born & (F.size(bare) > 1)
+        earliest = F.array_min(F.transform(bare, lambda d: F.struct(d["year"].alias("year"), d["start"].alias("start"))))["start"]
+        return let(
+            F.when(several, earliest).otherwise(-1),
+            lambda birth: F.transform(
+                dates,
+                lambda d: F.when(d["kind"].isNotNull(), candidate(d, d["kind"], P["date cue"], "cue")).otherwise(
+                    candidate(d, F.when(d["start"] == birth, "DATE_OF_BIRTH").otherwise("ENCOUNTER_DATE"), P["date inferred"], "inferred")
+                ),
+            ),
+        )
+
+    return let(dates, with_inference)
 
 
 def patient_layer(text: Column, strict: bool = False) -> Column:
@@ -115,9 +123,9 @@ def repeat_spans(text: Column, names: Column) -> Column:
 
 def email_name_pattern(local: Column) -> Column:
     """Regex for the name an address is made of, null for fewer than two words; oe, ue, ae and ss may stand for ö, ü, ä and ß."""
-    words = F.filter(F.split(local, "[._-]+"), lambda w: F.length(w) > 1)
-    safe = F.transform(words, lambda w: reduce(lambda x, f: F.replace(x, F.lit(f[0]), F.lit(f[1])), v.UMLAUTS, F.regexp_replace(w, r"([+%])", r"\\$1")))
-    return F.when(F.size(words) >= 2, F.concat(F.lit(r"(?Ui)\b"), F.array_join(safe, r"[ \t]+"), F.lit(r"\b")))
+    fold = lambda w: reduce(lambda x, f: F.replace(x, F.lit(f[0]), F.lit(f[1])), v.UMLAUTS, F.regexp_replace(w, r"([+%])", r"\\$1"))
+    pattern = lambda words: F.when(F.size(words) >= 2, F.concat(F.lit(r"(?Ui)\b"), F.array_join(F.transform(words, fold), r"[ \t]+"), F.lit(r"\b")))
+    return let(F.filter(F.split(local, "[._-]+"), lambda w: F.length(w) > 1), pattern)
 
 
 def email_name_spans(text: Column, addresses: Column) -> Column:
@@ -125,7 +133,7 @@ def email_name_spans(text: Column, addresses: Column) -> Column:
     none = F.array().cast(SPAN)
 
     def of(a: Column) -> Column:
-        hits = find(text, email_name_pattern(F.substring_index(a["text"], "@", 1)))
+        hits = let(email_name_pattern(F.substring_index(a["text"], "@", 1)), lambda p: find(text, p))
         return F.coalesce(F.filter(hits, lambda h: ~((h["start"] >= a["start"]) & (h["end"] <= a["end"]))), none)
 
     return F.flatten(F.transform(addresses, of))
@@ -135,7 +143,7 @@ def address_layer(text: Column) -> Column:
     def after(cue: Column) -> Column:
         window = F.substring(text, cue["end"] + 1, F.lit(v.ADDRESS_CHARS))
         value = F.get(F.split(window, rx(v.ADDRESS_END), 2), F.lit(0))
-        return trimmed(F.struct(cue["end"].alias("start"), (cue["end"] + F.length(value)).alias("end"), value.alias("text")))
+        return let(value, lambda x: trimmed(F.struct(cue["end"].alias("start"), (cue["end"] + F.length(x)).alias("end"), x.alias("text"))))
 
     by_cue = F.filter(F.transform(find(text, rx(v.ADDRESS_CUE, True)), after), lambda s: (F.length(s["text"]) >= 8) & s["text"].rlike("[0-9]"))
     return F.concat(
