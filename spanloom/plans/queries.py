@@ -284,7 +284,7 @@ def ranking_by_site(spark: SparkSession, sf: str) -> DataFrame:
 SPANS_SQL = """
 s AS (SELECT doc_id, n_chars AS n, (doc_id * 13) % 40 AS a, 5 + doc_id % 7 AS len, doc_id % 8 AS lab FROM documents WHERE length(text) >= 60),
 q AS (SELECT doc_id, a AS ta, a + len AS tb, lab AS tl, a + doc_id % 3 AS pa, a + len + doc_id % 2 AS pb, CASE WHEN doc_id % 5 = 0 THEN (lab + 1) % 8 ELSE lab END AS pl FROM s),
-o AS (SELECT *, greatest(0, least(tb, pb) - greatest(ta, pa)) AS both FROM q)"""
+o AS (SELECT *, greatest(0, least(tb, pb) - greatest(ta, pa)) AS common FROM q)"""
 
 
 def _span_cases(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,7 +296,7 @@ def _span_cases(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(d.alias("case_id"), F.col("text").alias("note_text"), span(a, a + n, d).alias("true_spans"), span(a + d % 3, a + n + d % 2, F.when(d % 5 == 0, d + 1).otherwise(d)).alias("pred_spans"))
 
 
-@query(f"""WITH {SPANS_SQL}, t AS (SELECT sum(both) AS tp, sum(pb - pa - both) AS fp, sum(tb - ta - both) AS fn, sum(CASE WHEN tl = pl THEN both ELSE 0 END) AS ltp, sum(pb - pa) AS np, sum(tb - ta) AS nt,
+@query(f"""WITH {SPANS_SQL}, t AS (SELECT sum(common) AS tp, sum(pb - pa - common) AS fp, sum(tb - ta - common) AS fn, sum(CASE WHEN tl = pl THEN common ELSE 0 END) AS ltp, sum(pb - pa) AS np, sum(tb - ta) AS nt,
   sum((ta = pa AND tb = pb AND tl = pl)::INTEGER) AS etp, count(*) AS n FROM o)
 SELECT tp::BIGINT AS char_tp, fp::BIGINT AS char_fp, fn::BIGINT AS char_fn, round(2.0 * tp / (2 * tp + fp + fn), 6) AS char_f1, round(2.0 * ltp / (np + nt), 6) AS label_f1, round(etp / n::DOUBLE, 6) AS entity_f1, round(fn / (tp + fn)::DOUBLE, 6) AS leakage_rate FROM t""")
 def span_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -311,7 +311,7 @@ def entity_f1_by_label(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.entity_f1_by_label(metrics.span_counts(_span_cases(spark, sf), rendered=None)).select("label", "tp", "fp", "fn")
 
 
-@query(f"WITH {SPANS_SQL} SELECT CASE WHEN ta = pa AND tb = pb THEN 'wrong label' WHEN both > 0 THEN 'boundary' ELSE 'leaked' END AS reason, count(*) AS n FROM o WHERE NOT (ta = pa AND tb = pb AND tl = pl) GROUP BY 1")
+@query(f"WITH {SPANS_SQL} SELECT CASE WHEN ta = pa AND tb = pb THEN 'wrong label' WHEN common > 0 THEN 'boundary' ELSE 'leaked' END AS reason, count(*) AS n FROM o WHERE NOT (ta = pa AND tb = pb AND tl = pl) GROUP BY 1")
 def miss_reasons(spark: SparkSession, sf: str) -> DataFrame:
     missed = errors.span_problems(metrics.span_counts(_span_cases(spark, sf), rendered=None)).filter("kind = 'missed'")
     return missed.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

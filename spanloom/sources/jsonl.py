@@ -25,8 +25,10 @@ class BadInput(ValueError):
 
 def read_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, refused): blank lines are skipped, lines that are no JSON object of the schema are set aside with their text."""
-    raw = spark.read.schema(schema + ", _line string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").json(path)
-    return raw.filter("_line is null").drop("_line"), raw.filter("_line is not null").select("_line")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"}
+    raw = spark.read.text(path).filter(F.trim("value") != "").select("value", F.from_json("value", schema + ", _line string", options).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._line").isNotNull()
+    return raw.filter(~bad).select("r.*").drop("_line"), raw.filter(bad).select(F.col("value").alias("_line"))
 
 
 def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
