@@ -63,7 +63,9 @@ def repeats(lines: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
     A run of equal lines has an anchor in every window, so beyond its outermost anchors lie fewer than WINDOW
     lines: each match grows both ways by the neighbours that travel with the anchor, and the matches of a row
-    join into its runs. What meets at one key is one row per task for the first place, and is never paired.
+    join into its runs. Where the first place of an outermost anchor goes on differently than a later one, the run
+    ends with the anchor: it then lacks at most WINDOW - 1 lines at that end, for which MIN_WORDS leaves room.
+    What meets at one key is one row per task for the first place, and is never paired.
     """
     slim = lines.select("row", "doc_id", "h", "w", _grams(F.col("h")).alias("g"))
     spots = slim.select("row", "doc_id", "h", F.explode(_anchors(F.col("h"), F.col("w"), F.col("g"), least)).alias("x"))

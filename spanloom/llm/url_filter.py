@@ -95,7 +95,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
 
     The longest fitting rule decides; elsewhere rule is null and the models do. score is the mean log ratio per
     character, allow over block (0 on an empty training set). A null url, or one without `://`, has empty host
-    and path and is judged by the models like any other. Without decided URLs to calibrate on the threshold is 0.
+    and path and is judged by the models like any other. Without decided URLs of both verdicts to calibrate on the threshold is 0.
     Repeated rows and null ids pass through; other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
@@ -123,6 +123,6 @@ def _threshold(scored: DataFrame) -> DataFrame:
     whole = bins.agg(F.sum("allow").alias("all_allow"), F.sum("block").alias("all_block"), F.array_sort(F.collect_list(F.struct("bin", "allow", "block"))).alias("bins"))
     edges = whole.select("all_allow", "all_block", "bins", F.explode_outer("bins").alias("edge"))
     below = lambda k: F.aggregate(F.filter("bins", lambda x: x["bin"] < F.col("edge.bin")), F.lit(0).cast("long"), lambda a, x: a + x[k])
-    gain = below("block") / F.col("all_block") - below("allow") / F.col("all_allow")
+    gain = F.try_divide(below("block"), F.col("all_block")) - F.try_divide(below("allow"), F.col("all_allow"))  # null with one verdict only
     best = edges.select(F.struct(gain.alias("gain"), (-F.abs("edge.bin")).alias("near"), F.col("edge.bin").alias("bin")).alias("x")).agg(F.max("x").alias("x"))
     return best.select(F.coalesce(F.when(F.col("x.gain") > 0, F.col("x.bin") * BIN), F.lit(0.0)).alias("threshold"))
