@@ -76,7 +76,9 @@ def repeats(lines: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     near = F.shiftleft(half(at - 1), 32).bitwiseOR(half(at + k))
     spots = spots.select("doc_id", "row", "x.fp", (at.cast("long") * 4 + k).alias("place"), near.alias("near"))
     first = spots.groupBy("fp").agg(F.min(F.struct("doc_id", "row", "place", "near")).alias("first"), F.count(F.lit(1)).alias("n"))
-    later = spots.join(first.filter("n > 1").drop("n"), "fp").filter("row <> first.row or place <> first.place")
+    # Staged, so that both sides of the join are plain shuffles and a hot anchor's rows can be split at run time.
+    first = stage(first.filter("n > 1").drop("n"), "first-places")
+    later = spots.join(first, "fp").filter("row <> first.row or place <> first.place")
     upper, lower = (lambda x: F.shiftrightunsigned(x, 32)), (lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))
     same = lambda f: ((f(F.col("near")) == f(F.col("first.near"))) & (f(F.col("near")) != 0)).cast("int")
     at, k = (F.col("place") / 4).cast("int"), (F.col("place") % 4).cast("int")
