@@ -14,9 +14,11 @@ distinct contexts of a batch.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -154,7 +156,7 @@ class LogBilinear:
 def _sequence(words: list[str], head: dict[str, int]) -> np.ndarray:
     """Class ids of a text and its end, after CONTEXT ends as the start."""
     ids = np.zeros(len(words) + CONTEXT + 1, np.int32)
-    ids[CONTEXT:-1] = [head.get(w, 1) for w in words]
+    ids[CONTEXT:-1] = np.fromiter(map(head.get, words, repeat(1)), np.int32, len(words))
     return ids
 
 
@@ -226,17 +228,14 @@ def train(docs: DataFrame, v: Vocabulary) -> LogBilinear:
     return start
 
 
-def _words(low: str) -> list[str]:
-    """Words of the contract; only six characters separate."""
-    if low.isascii():
-        return low.split() if not any(c in low for c in "\x1c\x1d\x1e\x1f") else _slow_words(low)
-    return [b.decode("utf-8") for b in low.encode("utf-8", "replace").split()]
-
+#: White space to Python that does not separate words here.
+_NO_BREAK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WORD = re.compile(SPACE_WORD)
 
-def _slow_words(low: str) -> list[str]:
-    import re
 
-    return re.findall(SPACE_WORD, low)
+def _words(low: str) -> list[str]:
+    """Words of the contract; only six characters separate."""
+    return _WORD.findall(low) if _NO_BREAK.search(low) else low.split()
 
 
 def score_documents(docs: DataFrame, classes: int = CLASSES, held: int = HELD) -> DataFrame:
@@ -265,8 +264,12 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, held: int = HELD) -
         head, known = vocab.head, vocab.counts
         shared = max(vocab.shared, 1)
         log = {c: math.log10(c + 1) for c in set(known.values())}
-        # word -> (base term, score term within its class)
-        terms = {w: (log[c], 0.0 if w in head else math.log10(c * inner / shared)) for w, c in known.items()}
+        # Terms of the words held, and of a missing one at the end, where index -1 finds it.
+        index = {w: i for i, w in enumerate(known)}.get
+        base_of = np.array([*(log[c] for c in known.values()), 0.0])
+        inside_of = np.array([*(0.0 if w in head else math.log10(c * inner / shared) for w, c in known.items()), 0.0])
+        class_of = np.array([*(head.get(w, 1) for w in known), 1], np.int32)
+        end_base, end_known = log.get(known.get(END, -1), 0.0), int(END in known)
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
             parts: list[np.ndarray] = []
@@ -286,16 +289,13 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, held: int = HELD) -
             size = 0
             for doc_id, held_out, cell in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("low")):
                 words = _words(cell.as_py())
-                tf = Counter(words)
-                base, inside, n_known, rare = log.get(known.get(END, -1), 0.0), 0.0, int(END in known), []
-                for w, k in tf.items():
-                    if (t := terms.get(w)) is not None:
-                        base += k * t[0]
-                        inside += k * t[1]
-                        n_known += k
-                    else:
-                        rare.append({"word": w, "tf": k})
-                parts.append(_sequence(words, head))
+                at = np.fromiter(map(index, words, repeat(-1)), np.int64, len(words))
+                missing = np.flatnonzero(at < 0)
+                rare = [{"word": w, "tf": k} for w, k in Counter([words[i] for i in missing.tolist()]).items()]
+                base, inside, n_known = float(base_of[at].sum()) + end_base, float(inside_of[at].sum()), len(words) - len(missing) + end_known
+                ids = np.zeros(len(words) + CONTEXT + 1, np.int32)
+                ids[CONTEXT:-1] = class_of[at]
+                parts.append(ids)
                 for column, value in zip(rows, (doc_id, held_out, len(words) + 1, n_known, base, inside, rare)):
                     column.append(value)
                 size += len(words)
