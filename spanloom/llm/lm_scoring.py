@@ -14,7 +14,6 @@ distinct contexts of a batch.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -24,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, lower_ascii, stage
+from .common import stage
 
 #: Classes of the neural model, width of its vectors, words of context, noise words per batch, tokens per batch, step size.
 CLASSES, WIDTH, CONTEXT, NOISE, BATCH, STEP = 512, 24, 2, 32, 8192, 0.05
@@ -32,22 +31,54 @@ CLASSES, WIDTH, CONTEXT, NOISE, BATCH, STEP = 512, 24, 2, 32, 8192, 0.05
 HELD = 400_000
 #: Key of the end of a text among the words; no word holds a line feed.
 END = "\n"
+_END = END.encode()
+#: Distinct words that a counting task holds before it hands them on.
+FLUSH = 400_000
 HELD_OUT = "crc32(coalesce(cast(doc_id as string), '')) % 7 = 2"
 
 
+def _words(text: str | None) -> list[bytes]:
+    """Words of the contract in UTF-8, A-Z lower-cased: bytes know no other letters and just the six separators."""
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over the training rows of `docs`, the end of each text included under END."""
-    train = docs.filter(f"not ({HELD_OUT})")
-    words = F.split(lower_ascii(F.col("text")), r"[\x20\x09-\x0D]+")
-    return train.select(F.explode(F.concat(words, F.array(F.lit(END)))).alias("word")).filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    """(word, c) over the training rows of `docs`, the end of each text included under END.
+
+    Counted within tasks first; what a task holds is bounded by FLUSH words, whatever it reads.
+    """
+    import pyarrow as pa
+
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            items = list(found.items())
+            found.clear()
+            for at in range(0, len(items), 50_000):
+                part = items[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in part], pa.string()), pa.array([k for _, k in part], pa.int64())], schema=schema)
+
+        for batch in batches:
+            for cell in batch.column("text"):
+                found.update(_words(cell.as_py()))
+            found[_END] += batch.num_rows
+            if len(found) > FLUSH:
+                yield from flush()
+        yield from flush()
+
+    train = docs.filter(f"not ({HELD_OUT})").select("text")
+    return train.mapInArrow(work, "word string, n long").filter("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 @dataclass
 class Vocabulary:
     tokens: int  # N
     types: int  # V
-    head: dict[str, int]  # word -> class; END is class 0, class 1 holds all others
-    counts: dict[str, int]  # of the words held
+    head: dict[bytes, int]  # word -> class; the end is class 0, class 1 holds all others
+    counts: dict[bytes, int]  # of the words held
     shared: int  # training tokens of class 1
     unseen: float  # share of class 1 for words never seen
 
@@ -68,13 +99,13 @@ def vocabulary(counts: DataFrame, classes: int = CLASSES, held: int = HELD) -> V
             break
         least = r["least"]
     top = [] if least is None else counts.filter(F.col("c") >= least).collect()
-    known = {r["word"]: r["c"] for r in top}
-    order = sorted((w for w in known if w != END), key=lambda w: (-known[w], w))
-    if least is None or END not in known:
+    known = {r["word"].encode(): r["c"] for r in top}
+    order = sorted((w for w in known if w != _END), key=lambda w: (-known[w], w))
+    if least is None or _END not in known:
         ends = counts.filter(F.col("word") == END).first()
         if ends:
-            known[END] = ends["c"]
-    head = {END: 0} | {w: k for k, w in enumerate(order[: classes - 2], 2)}
+            known[_END] = ends["c"]
+    head = {_END: 0} | {w: k for k, w in enumerate(order[: classes - 2], 2)}
     shared = n - sum(known.get(w, 0) for w in head)
     return Vocabulary(n, v, head, known, shared, (once + 1) / (shared + once + 2))
 
@@ -153,7 +184,7 @@ class LogBilinear:
         return out
 
 
-def _sequence(words: list[str], head: dict[str, int]) -> np.ndarray:
+def _sequence(words: list[bytes], head: dict[bytes, int]) -> np.ndarray:
     """Class ids of a text and its end, after CONTEXT ends as the start."""
     ids = np.zeros(len(words) + CONTEXT + 1, np.int32)
     ids[CONTEXT:-1] = np.fromiter(map(head.get, words, repeat(1)), np.int32, len(words))
@@ -198,7 +229,7 @@ def train(docs: DataFrame, v: Vocabulary) -> LogBilinear:
         def stream() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             nonlocal size
             for batch in batches:
-                for cell in batch.column("low"):
+                for cell in batch.column("text"):
                     parts.append(_sequence(_words(cell.as_py()), head))
                     size += len(parts[-1])
                     if size > 64 * BATCH:
@@ -220,24 +251,15 @@ def train(docs: DataFrame, v: Vocabulary) -> LogBilinear:
             yield pa.RecordBatch.from_pydict({"n": [n], "sum": [total.tobytes()]}, schema=schema)
 
     ddl = "n double, sum binary"
-    text = docs.filter(f"not ({HELD_OUT})").select(lower_ascii(F.col("text")).alias("low"))
+    text = docs.filter(f"not ({HELD_OUT})").select("text")
     parts = text.mapInArrow(work, ddl)
-    rows = parts.repartition(8).mapInArrow(add, ddl).coalesce(1).mapInArrow(add, ddl).collect()
+    wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = parts.repartition(wide).mapInArrow(add, ddl).repartition(1).mapInArrow(add, ddl).collect()
     for r in rows:  # one row, the size of the model
         start.load(np.frombuffer(r["sum"]) / r["n"])
     return start
 
 
-#: White space to Python that does not separate words here.
-_NO_BREAK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_WORD = re.compile(SPACE_WORD)
-
-
-def _words(low: str) -> list[str]:
-    """Words of the contract; only six characters separate."""
-    return _WORD.findall(low) if _NO_BREAK.search(low) else low.split()
-
-
 def score_documents(docs: DataFrame, classes: int = CLASSES, held: int = HELD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`.
 
@@ -269,7 +291,7 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, held: int = HELD) -
         base_of = np.array([*(log[c] for c in known.values()), 0.0])
         inside_of = np.array([*(0.0 if w in head else math.log10(c * inner / shared) for w, c in known.items()), 0.0])
         class_of = np.array([*(head.get(w, 1) for w in known), 1], np.int32)
-        end_base, end_known = log.get(known.get(END, -1), 0.0), int(END in known)
+        end_base, end_known = log.get(known.get(_END, -1), 0.0), int(_END in known)
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
             parts: list[np.ndarray] = []
@@ -287,11 +309,11 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, held: int = HELD) -
                 return out
 
             size = 0
-            for doc_id, held_out, cell in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("low")):
+            for doc_id, held_out, cell in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text")):
                 words = _words(cell.as_py())
                 at = np.fromiter(map(index, words, repeat(-1)), np.int64, len(words))
                 missing = np.flatnonzero(at < 0)
-                rare = [{"word": w, "tf": k} for w, k in Counter([words[i] for i in missing.tolist()]).items()]
+                rare = [{"word": w.decode(), "tf": k} for w, k in Counter([words[i] for i in missing.tolist()]).items()]
                 base, inside, n_known = float(base_of[at].sum()) + end_base, float(inside_of[at].sum()), len(words) - len(missing) + end_known
                 ids = np.zeros(len(words) + CONTEXT + 1, np.int32)
                 ids[CONTEXT:-1] = class_of[at]
@@ -306,9 +328,9 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, held: int = HELD) -
                 yield flush()
 
     ddl = "doc_id long, held_out boolean, n_tokens long, known long, base double, neural double, tail array<struct<word:string,tf:int>>"
-    first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(HELD_OUT).alias("held_out"), lower_ascii(F.col("text")).alias("low"))
+    first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(HELD_OUT).alias("held_out"), "text")
     scored = stage(first.mapInArrow(work, ddl).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    least = min((c for w, c in v.counts.items() if w != END), default=1 << 62)  # words this frequent are all held
+    least = min((c for w, c in v.counts.items() if w != _END), default=1 << 62)  # words this frequent are all held
     rest = counts.filter((F.col("c") < least) & (F.col("word") != END)).withColumnRenamed("word", "w")
     rare = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.tf").alias("tf"))
     found = rare.join(rest, F.col("word") == F.col("w"), "left")
