@@ -42,17 +42,20 @@ class MergeList:
         self.rank = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate(merges)}
         self.lookahead = max(map(len, vocab))
         made = [bytes([b]) for b in range(256) if bytes([b]) in vocab] + [a + b for a, b in merges]
-        endings: dict[bytes, set[int]] = {}
-        for token in made:
-            endings.setdefault(token[-2:], set()).add(len(token))
-        for token in made:  # tokens of one byte end anywhere that byte does
-            if len(token) == 1:
-                for tail in [x for x in endings if x[-1:] == token]:
-                    endings[tail].add(1)
-        self.endings = {tail: sorted(lengths, reverse=True) for tail, lengths in endings.items()}
         #: Tokens that the merges do build from their bytes; any other entry of the vocabulary never occurs.
         self.made = {t: vocab[t] for t in made if self.merged(t) == [vocab[t]]}
         self._beside: dict[tuple[int, int], bool] = {}
+        # Tokens read backwards: (node << 8 | byte) -> node, and the token that a node completes.
+        self.back: dict[int, int] = {}
+        self.ends_at: list[int] = [-1]
+        for token, i in self.made.items():
+            node = 0
+            for byte in reversed(token):
+                key = node << 8 | byte
+                if (node := self.back.get(key, 0)) == 0:
+                    node = self.back[key] = len(self.ends_at)
+                    self.ends_at.append(-1)
+            self.ends_at[node] = i
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: merge the lowest-ranked, leftmost pair until none is left. For pairs of tokens only."""
@@ -93,21 +96,28 @@ class Encoder:
 
     def feed(self, data: bytes) -> list[int]:
         m, out = self.merges, []
-        get, endings, known = m.made.get, m.endings, m._beside
+        step, ends_at, known = m.back.get, m.ends_at, m._beside
         for at in range(0, len(data), 4 * m.lookahead):
             start = len(self.window)
             window = self.window = self.window + data[at : at + 4 * m.lookahead]
             last, before = self.last, self.before
-            for n in range(start + 1, len(window) + 1):
-                for length in endings.get(window[n - 2 : n] if n > 1 else window[:1], (1,)):
-                    if length > n or (token := get(window[n - length : n])) is None:
-                        continue
-                    left = last[n - length - 1] if n > length else before
-                    if left is None or (known[left, token] if (left, token) in known else m.beside(left, token)):
-                        last.append(token)
+            for n in range(start, len(window)):
+                # Tokens that end with byte n, shortest first.
+                node, k, ending = 0, n, []
+                while k >= 0 and (node := step(node << 8 | window[k], 0)):
+                    if (token := ends_at[node]) >= 0:
+                        ending.append((k, token))
+                    k -= 1
+                for k, token in reversed(ending):
+                    left = last[k - 1] if k else before
+                    if left is None:
+                        break
+                    fits = known.get((left, token))
+                    if fits or (fits is None and m.beside(left, token)):
                         break
                 else:
                     raise ValueError("no token ends here: the vocabulary lacks a byte")
+                last.append(token)
             if len(window) > 4 * m.lookahead:
                 out += self._stable()
         return out
@@ -220,11 +230,11 @@ class Tokenizer:
             if added:
                 yield self.added[part].to_bytes(4, "little")
             elif len(part) <= 4 * RUN:
-                yield b"".join([memo[x] for x in self.split.findall(part)])
+                yield b"".join(map(memo.__getitem__, self.split.findall(part)))
             else:
                 found = (m.group() for m in self.split.finditer(part))
                 while run := list(islice(found, RUN)):
-                    yield b"".join([memo[x] for x in run])
+                    yield b"".join(map(memo.__getitem__, run))
 
     def encode(self, text: str) -> list[int]:
         return [i for run in self.packed(text) for i in memoryview(run).cast("I").tolist()]
@@ -233,7 +243,7 @@ class Tokenizer:
         """Text of ids, run by run."""
         machine, table = ByteToText(), self.table
         for ids in runs:
-            yield machine.feed(b"".join([table[i] for i in ids]))
+            yield machine.feed(b"".join(map(table.__getitem__, ids)))
         yield machine.finish()
 
     def decode(self, ids: list[int]) -> str:
