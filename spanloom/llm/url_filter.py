@@ -21,8 +21,9 @@ ALPHABET = "^$~/.-_%=&+0abcdefghijklmnopqrstuvwxyz"
 SIZE = len(ALPHABET)
 #: Weight of the shorter context in the longer one's estimate, in characters.
 BACKOFF = 4.0
-#: Decided URLs whose crc32 leaves 0 when divided by this calibrate the threshold; scores fall into bins so wide.
-FOLDS, BIN = 5, 0.01
+#: Decided URLs whose MD5 begins with one of these (3 of 16) calibrate the threshold; bins of scores to a unit.
+CALIBRATE, BINS = ("0", "1", "2"), 100
+MICRO = 1_000_000.0
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -59,7 +60,8 @@ def _triples(codes: Column) -> Column:
 
 
 def train(decided: DataFrame, backoff: float = BACKOFF) -> DataFrame:
-    """One row, one column `ratio`: log p(c | ab, allow) - log p(c | ab, block) for every triple abc of the alphabet, comma-joined.
+    """One row, one column `ratio`: log p(c | ab, allow) - log p(c | ab, block) for every triple abc of the alphabet, in millionths,
+    comma-joined: sums of integers come out the same in any order.
 
     `decided` has `codes` and `verdict`. Counts cover all its rows; without rows every ratio is 0.
     """
@@ -80,14 +82,14 @@ def train(decided: DataFrame, backoff: float = BACKOFF) -> DataFrame:
         p1 = (F.col(f"{k}_bc") + backoff * p0) / (F.col(f"{k}_b") + backoff)
         return F.log((F.col(k) + backoff * p1) / (F.col(f"{k}_ab") + backoff))
 
-    ratios = grid.select(F.struct("id", F.round(log_p("allow") - log_p("block"), 6).alias("r")).alias("x"))
+    ratios = grid.select(F.struct("id", F.round((log_p("allow") - log_p("block")) * MICRO).cast("long").alias("r")).alias("x"))
     return ratios.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"].cast("string")), ",").alias("ratio"))
 
 
 def _score(ratio: Column, codes: Column) -> Column:
     triples = _triples(codes)
-    total = F.aggregate(triples, F.lit(0.0), lambda acc, t: acc + F.element_at(ratio, (t + 1).cast("int")))
-    return F.round(total / F.size(triples), 6)
+    total = F.aggregate(triples, F.lit(0).cast("long"), lambda acc, t: acc + F.element_at(ratio, (t + 1).cast("int")))
+    return total.cast("double") / (F.size(triples) * F.lit(MICRO))
 
 
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
@@ -103,9 +105,9 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
     rule, says = matched_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "url", "host", "path", rule.alias("rule"), says.alias("verdict"), _codes(F.col("host"), F.col("path")).alias("codes"))
     decided = rows.filter(F.col("rule").isNotNull())
-    held = F.crc32(F.coalesce("url", F.lit(""))) % FOLDS == 0
+    held = F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 1).isin(*CALIBRATE)
     # len(ALPHABET) ** 3 numbers, whatever the input: small enough to travel as a literal of the plan.
-    ratio = F.split(F.lit(train(decided.filter(~held)).first()["ratio"]), ",").cast("array<double>")
+    ratio = F.split(F.lit(train(decided.filter(~held)).first()["ratio"]), ",").cast("array<long>")
     limit = _threshold(decided.filter(held).select("verdict", _score(ratio, F.col("codes")).alias("score"))).first()["threshold"]
     scored = rows.withColumn("score", _score(ratio, F.col("codes")))
     chosen = F.coalesce("verdict", F.when(F.col("score") < limit, "block").otherwise("allow"))
@@ -117,7 +119,7 @@ def _threshold(scored: DataFrame) -> DataFrame:
 
     Bins are few whatever the input: per-character ratios of smoothed models are bounded, and so is the table.
     """
-    bins = scored.groupBy(F.floor(F.col("score") / BIN).cast("long").alias("bin")).agg(
+    bins = scored.groupBy(F.floor(F.col("score") * BINS).cast("long").alias("bin")).agg(
         F.count_if(F.col("verdict") == "allow").alias("allow"), F.count_if(F.col("verdict") == "block").alias("block")
     )
     whole = bins.agg(F.sum("allow").alias("all_allow"), F.sum("block").alias("all_block"), F.array_sort(F.collect_list(F.struct("bin", "allow", "block"))).alias("bins"))
@@ -125,4 +127,4 @@ def _threshold(scored: DataFrame) -> DataFrame:
     below = lambda k: F.aggregate(F.filter("bins", lambda x: x["bin"] < F.col("edge.bin")), F.lit(0).cast("long"), lambda a, x: a + x[k])
     gain = F.try_divide(below("block"), F.col("all_block")) - F.try_divide(below("allow"), F.col("all_allow"))  # null with one verdict only
     best = edges.select(F.struct(gain.alias("gain"), (-F.abs("edge.bin")).alias("near"), F.col("edge.bin").alias("bin")).alias("x")).agg(F.max("x").alias("x"))
-    return best.select(F.coalesce(F.when(F.col("x.gain") > 0, F.col("x.bin") * BIN), F.lit(0.0)).alias("threshold"))
+    return best.select(F.coalesce(F.when(F.col("x.gain") > 0, F.col("x.bin") / F.lit(float(BINS))), F.lit(0.0)).alias("threshold"))
