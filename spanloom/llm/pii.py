@@ -12,6 +12,7 @@ import bisect
 import datetime
 import hashlib
 import ipaddress
+import itertools
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -27,20 +28,28 @@ IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES"
 KINDS = ("email", "iban", "date", "card", "ssn", "ip", "phone", "secret")
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})@([A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8})\.([A-Za-z]{2,24})(?![A-Za-z0-9-])")
-NUMERIC = re.compile(
-    r"""(?<![A-Za-z0-9])(?:
-      (?P<iban>[A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]{4}){2,7}(?:[ ]?[A-Za-z0-9]{1,3})?)(?![A-Za-z0-9])
-    | (?P<ymd>[0-9]{4}([-/.])[0-9]{1,2}\3[0-9]{1,2})(?![0-9]|[-/.][0-9])
-    | (?P<dmy>[0-9]{1,2}([-/.])[0-9]{1,2}\5[0-9]{4})(?![0-9]|[-/.][0-9])
-    | (?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]|\.[0-9])
-    | (?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])
-    | (?P<phone>\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,5}\)?){2,5})(?![0-9])
-    | (?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])
-    | (?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])
-    | (?P<local>\([0-9]{3}\)[ ]?[0-9]{3}[-. ][0-9]{4})(?![0-9])
-    )""",
-    re.X,
+#: Kind and shape, in the order in which they are tried at a place.
+SHAPES = (
+    ("iban", r"[A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]{4}){2,7}(?:[ ]?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("ymd", r"[0-9]{4}(?P<ymd_mark>[-/.])[0-9]{1,2}(?P=ymd_mark)[0-9]{1,2}(?![0-9]|[-/.][0-9])"),
+    ("dmy", r"[0-9]{1,2}(?P<dmy_mark>[-/.])[0-9]{1,2}(?P=dmy_mark)[0-9]{4}(?![0-9]|[-/.][0-9])"),
+    ("ip", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"),
+    ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    ("phone", r"\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,5}\)?){2,5}(?![0-9])"),
+    ("secret", r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])"),
+    ("card", r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
+    ("local", r"\([0-9]{3}\)[ ]?[0-9]{3}[-. ][0-9]{4}(?![0-9])"),
 )
+SHAPE = {kind: re.compile(r"(?<![A-Za-z0-9])" + shape) for kind, shape in SHAPES}
+NUMERIC = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(shape for _, shape in SHAPES) + ")")
+KIND_OF = {"ymd": "date", "dmy": "date", "local": "phone"}
+#: A number of the North American plan is complete with these digits.
+TEN_DIGITS = re.compile(r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])")
+#: Digits by group as cards are printed, the longest first; without blanks any length will do.
+CARD_GROUPS = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 4, 4, 3), (4, 6, 4), (4, 4, 4, 2), (4, 4, 4, 1))
+DIGITS = re.compile(r"[0-9]+")
+#: What goes on after a digit as one number, date or address.
+GOES_ON = re.compile(r"[-./:][0-9]")
 
 
 class Feistel:
@@ -190,6 +199,40 @@ class Pseudonyms:
         fresh = format(self._walk(int(text, 16), 16 ** len(text), f"hex{len(text)}"), f"0{len(text)}x")
         return fresh.upper() if text.isupper() else fresh
 
+    def value_at(self, text: str, start: int, kinds: Iterable[str] = tuple(SHAPE)) -> tuple[int, str, str] | None:
+        """(end, kind, pseudonym) of the value that begins at `start`: the first kind and end that are valid.
+
+        Shapes run over blanks into what follows, so the ends within a match are tried as well, complete forms first.
+        """
+        for kind in kinds:
+            if m := SHAPE[kind].match(text, start):
+                for end in self._ends(kind, text, start, m.end()):
+                    value = text[start:end]
+                    fresh = self.date(value, kind == "dmy") if kind in ("ymd", "dmy") else getattr(self, KIND_OF.get(kind, kind))(value)
+                    if fresh is not None:
+                        return end, KIND_OF.get(kind, kind), fresh
+        return None
+
+    def _ends(self, kind: str, text: str, start: int, last: int) -> list[int]:
+        """Where a value of this kind that begins at `start` may end, up to `last`, in the order to try."""
+        if kind == "iban":  # its country says how long it is
+            places = [i for i in range(start, last) if text[i] != " "][: IBAN_LENGTHS.get(text[start : start + 2].upper(), 0)]
+            return [places[-1] + 1] if places and not text[places[-1] + 1 : places[-1] + 2].isalnum() else []
+        if kind not in ("card", "phone"):
+            return [last]
+        ends = [e for e in range(last - 1, start, -1) if text[e - 1] in "0123456789)" and text[e] not in "0123456789)" and not GOES_ON.match(text, e)]
+        if kind == "phone":
+            if m := TEN_DIGITS.match(text, start):
+                return [m.end(), last]
+            ends = [e for e in ends if SHAPE[kind].fullmatch(text, start, e)]
+            others = [k for k in SHAPE if k != "phone"]
+            parted = [e for e in reversed(ends) if text[e] == " " and self.value_at(text, e + 1, others)]
+            return [*parted, last, *ends]
+        further = (s for s in range(start + 1, last) if text[s - 1] in " -")
+        if any(self.card(text[s:e]) for s in further for e in _printed(text, s)):  # then only a printed form will do here
+            return _printed(text, start)
+        return [*_printed(text, start), last, *ends]
+
     def found(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym) of every value, by place; values do not overlap."""
         out = []
@@ -198,18 +241,29 @@ class Pseudonyms:
         taken = [(a, b) for a, b, _, _ in out]
         at = 0
         while m := NUMERIC.search(text, at):
-            kind, value = m.lastgroup, m.group()
-            fresh = {"ymd": lambda: self.date(value, False), "dmy": lambda: self.date(value, True), "local": lambda: self.phone(value)}.get(kind, lambda: getattr(self, kind)(value))()
-            if fresh is not None and not any(a < m.end() and m.start() < b for a, b in taken[_before(taken, m.start()) :][:2]):
-                out.append((*m.span(), {"ymd": "date", "dmy": "date", "local": "phone"}.get(kind, kind), fresh))
-                at = m.end()
-            else:  # not valid as that: it may hold a value further on
+            value = self.value_at(text, m.start())
+            if value is not None and not any(a < value[0] and m.start() < b for a, b in taken[_before(taken, m.start()) :][:2]):
+                out.append((m.start(), *value))
+                at = value[0]
+            else:  # no valid value begins here: one may further on
                 at = m.start() + 1
                 while at < len(text) and text[at].isalnum() and text[at - 1].isalnum():
                     at += 1
         return sorted(out)
 
 
+def _printed(text: str, start: int) -> list[int]:
+    """Ends of what is grouped like a card from `start` on, with one mark between all groups."""
+    groups = [m.span() for m in itertools.islice(DIGITS.finditer(text, start), 5)]
+    out = [b for a, b in groups[:1] if 13 <= b - a <= 19]
+    for form in CARD_GROUPS:
+        some = groups[: len(form)]
+        marks = {text[a:b] for (_, a), (b, _) in zip(some, some[1:])}
+        if tuple(b - a for a, b in some) == form and marks in ({" "}, {"-"}):
+            out.append(some[-1][1])
+    return out
+
+
 def _before(taken: list[tuple[int, int]], at: int) -> int:
     return max(0, bisect.bisect_right(taken, (at, 1 << 60)) - 1)
 

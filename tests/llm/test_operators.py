@@ -329,3 +329,23 @@ def test_feistel_is_a_permutation():
     for n in (1, 2, 7, 100, 1000):
         image = [f.permute(i, n, b"t") for i in range(n)]
         assert sorted(image) == list(range(n)) and [f.permute(v, n, b"t", inverse=True) for v in image] == list(range(n))
+
+
+def test_values_end_where_they_are_complete():
+    """Shapes run over blanks into the next word or number; the value before it counts all the same."""
+    names = pii.Pseudonyms(b"k")
+    card, iban = "4111 1111 1111 1111", "ES9121000418450200051332"
+    cases = {
+        f"{iban} was paid": [("iban", iban)], "ES91 2100 0418 4502 0005 1332 was it": [("iban", "ES91 2100 0418 4502 0005 1332")], "AT611904300234573201 to us": [("iban", "AT611904300234573201")],
+        f"{card} 10.0.0.1": [("card", card), ("ip", "10.0.0.1")], f"{card} 12/25": [("card", card)], "4111111111111111 12 25": [("card", "4111111111111111")], f"10 {card}": [("card", card)],
+        f"{card} {card}": [("card", card)] * 2, "378282246310005 99": [("card", "378282246310005")],
+        "+1 (826) 555-4081 190.137.223.204": [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")], "+1 (843) 555-7672 17 times": [("phone", "+1 (843) 555-7672")],
+        "+44 20 7946 0958 190.137.223.204": [("phone", "+44 20 7946 0958"), ("ip", "190.137.223.204")], "+44 20 7946 10.20.30.40": [("phone", "+44 20 7946"), ("ip", "10.20.30.40")],
+        f"+49 30 1234567 {card}": [("phone", "+49 30 1234567"), ("card", card)],
+        "ab12cd34ef56ab12cd34ef56ab12cd34": [("secret", "ab12cd34ef56ab12cd34ef56ab12cd34")],  # begins like an account
+        "ES9121000418450200051333 was": [], "4111 1111 1111 1112 12/25": [],
+    }
+    for text, wanted in cases.items():
+        got = names.found(text)
+        assert [(kind, text[a:b]) for a, b, kind, _ in got] == wanted, text
+        assert all(new not in text for *_, new in got)
