@@ -71,18 +71,21 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return sum(1 << k for k in np.flatnonzero(2 * counts > total).tolist())
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), one row per row of `docs`."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, row_key: Column | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and `row_key` (bytes) if given, one row per row of `docs`."""
     import pyarrow as pa
 
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    fields = [("doc_id", pa.int64()), ("fp", pa.int64())] + ([("row_key", pa.binary())] if row_key is not None else [])
+    schema = pa.schema(fields)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(cell.as_py(), width) for cell in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], schema=schema)
+            more = [batch.column(name) for name, _ in fields[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), *more], schema=schema)
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(work, "doc_id long, fp long")
+    more = [row_key.alias("row_key")] if row_key is not None else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(work, "doc_id long, fp long" + ", row_key binary" * len(more))
 
 
 # ------------------------------------------------------------------ comparison within a key
@@ -323,13 +326,18 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS, blo
     compared once, however many documents share them.
     """
     marked = stage(fingerprints(docs, width), "fingerprints")
+    names = _least(marked, F.col("doc_id"), radius, blocks, cell).withColumnRenamed("least", "component_id")
+    return marked.join(names, "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _least(marked: DataFrame, value: Column, radius: int = RADIUS, blocks: int | None = None, cell: int = CELL) -> DataFrame:
+    """fp, least (the least `value` of all rows in its component) for each fingerprint of `marked`."""
     # Without a partial step per fingerprint a third of all rows would meet in one task.
-    distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    distinct = stage(marked.groupBy("fp").agg(F.min(value).alias("least_here")), "distinct")
     roots = stage(components(links(distinct.select("fp"), radius, blocks, cell)), "roots")
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    names = named.join(least, "root").select("fp", "component_id")
-    return marked.join(names, "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
+    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_here", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("least_here").alias("least"))
+    return named.join(least, "root").select("fp", "least")
 
 
 def _hex(fp: Column) -> Column:
@@ -339,11 +347,14 @@ def _hex(fp: Column) -> Column:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each near-duplicate component, the smallest doc_id; all columns as they were.
 
-    Of rows that share that id one stays (the one whose text hashes lowest); rows of a component without any
-    id count as one group.
+    Ids need be neither unique nor present: rows are told apart by id and text. Of several texts with the smallest
+    id the one whose digest is lowest stays, of equal rows one; null ids come last, so a component without any id
+    is a group like any other.
     """
-    groups = near_groups(docs).select("doc_id", "component_id").distinct()
-    gone = groups.filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_gone_id")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    key = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256))
+    marked = stage(fingerprints(docs, row_key=key), "fingerprints")
+    first = _least(marked, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    gone = marked.join(first, "fp").filter(F.col("row_key") != F.col("least.row_key")).select(F.col("row_key").alias("_gone_key")).distinct()
+    left = docs.withColumn("_row_key", key).join(gone, F.col("_row_key") == F.col("_gone_key"), "left_anti")
+    nth = F.row_number().over(Window.partitionBy("_row_key").orderBy(F.lit(1)))  # dealt as the join is
     return left.withColumn("_nth", nth).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

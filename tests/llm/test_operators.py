@@ -222,6 +222,15 @@ def test_simhash_components(docs, blocks, cell):
         assert (r.fingerprint, r.component_id) == (f"{fps[r.doc_id]:016x}", roots[r.doc_id])
 
 
+def test_near_copies_go_by_row(spark):
+    """Null and repeated ids: one row stays of each component, and no other text goes with it."""
+    words = lambda k: " ".join(f"{chr(97 + k)}{i}" for i in range(40))
+    a, b, c, d, e = (words(k) for k in range(5))
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, c), (2, a), (2, d), (3, e), (3, e), (3, d), (4, c), (None, "")]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(kept, key=lambda r: r.text) == sorted([(1, a), (None, b), (4, c), (2, d), (3, e), (None, "")], key=lambda r: r[1])
+
+
 def test_bit_sliced_links():
     random.seed(7)
     for size in (2, 65, 700):
