@@ -63,6 +63,28 @@ def test_license_rules_and_suppression(spark):
     assert {r.doc_id: r.labels for r in license_scan.scan(df).collect()} == dict(enumerate(rows.values()))
 
 
+def test_license_gate_is_implied_by_every_rule(spark):
+    import re._parser as parser
+
+    def needs(items, run=""):
+        """Whether all that this matches, after `run`, has a root."""
+        for op, arg in items:
+            before, run = run, run + chr(arg) if op is parser.LITERAL else ""
+            if any(x in run for x in license_scan.ROOTS):
+                return True
+            if op is parser.SUBPATTERN and needs(arg[3], before) or op is parser.BRANCH and all(needs(x, before) for x in arg[1]) or op is parser.MAX_REPEAT and arg[0] > 0 and needs(arg[2]):
+                return True
+        return False
+
+    assert [r for r in license_scan.rules() if not needs(parser.parse(r[1]))] == []
+    rows = {
+        "Code is Apache 2.0.": "apache-2.0", "MPL": "mpl", "GFDL": "gfdl", "berkeley software distribution": "bsd", "all rights\nreserved": "all-rights-reserved", "public\ndomain": "", "the public-domain": "",
+        "dedicated\nto the public\ndomain": "public-domain", "do\nnot copy": "proprietary", "confidential  and proprietary": "proprietary", "CC\nBY": "cc-by", "creative\ncommons attribution": "cc-by",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in license_scan.scan(df).collect()} == dict(enumerate(rows.values()))
+
+
 def test_url_contract(spark):
     urls = {
         "http://A.example.net/en/1?x#y": ("a.example.net", "/en/1", "example.net/en/", "allow"), "https://x.net/": ("x.net", "/", "net/", "block"), "http://net/a": ("net", "/a", "net/", "block"),
