@@ -18,6 +18,9 @@ from .common import stage
 #: Zero-width cuts, so that the lines joined are the text.
 CUT = r"(?<=\n)|(?<=[.!?,;:|][ \t])"
 GRAM, WINDOW = 3, 2
+#: White space, as Unicode has it, and what tells that blanks plus one is not the number of words.
+SPACE = r"\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+UNEVEN = rf"[{SPACE}&&[^ \n]]|  "
 #: Words of whole lines in a run that is deleted: a passage of 50 words, less a line cut off at either end.
 MIN_WORDS = 30
 
@@ -54,7 +57,10 @@ def lines_of(docs: DataFrame, with_text: bool = False) -> DataFrame:
     trimmed = F.transform("lines", lambda x: F.btrim(x, F.lit(" \t\r\n")))
     rows = rows.withColumn("lines", trimmed)
     h = F.transform("lines", lambda x: F.xxhash64(x))
-    w = F.transform("lines", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
+    # Words are runs of what is not white space; texts with single blanks only need no regex for each line.
+    spaced = F.transform("lines", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
+    counted = F.transform("lines", lambda x: F.regexp_count(x, F.lit(f"[^{SPACE}]+")))
+    w = F.when(F.col("text").rlike(UNEVEN), counted).otherwise(spaced)
     return stage(rows.select("row", "doc_id", h.alias("h"), w.alias("w"), *(["text"] if with_text else [])), "lines")
 
 

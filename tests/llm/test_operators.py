@@ -340,6 +340,18 @@ def test_line_dedup_guarantee_against_brute_force(spark):
         seen |= set(runs)
 
 
+def test_line_dedup_counts_words_between_any_white_space(spark):
+    cells = [f"c{i}" for i in range(200)]
+    passages = ["\t".join(cells[:60]), "".join("\t".join(cells[i : i + 10]) + "\n" for i in range(0, 200, 10)), "\u00a0".join(cells[100:140]), "\u2003".join(cells[60:100]), "  ".join(cells[:16]), " ".join(cells[40:75])]
+    rows = [(2 * k + j, f"own {k} {j}\n{p.strip()}\nend {k} {j}") for k, p in enumerate(passages) for j in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, p in enumerate(passages):  # each pair by itself: passages share cells, not lines
+        first, second = line_dedup.repeated_runs(docs.filter(F.col("doc_id").isin(2 * k, 2 * k + 1))).orderBy("doc_id").collect()
+        n = len(p.split())
+        assert (first.n_words, second.n_words) == (n + 6, n + 6) and first.removed_words == 0
+        assert second.removed_words == (n if n >= line_dedup.MIN_WORDS else 0)
+
+
 def test_pseudonyms(spark):
     text = "Anna.Bell7@mail7.example.com, +1 (017) 555-7713, 4111 1111 1111 1111, 4111111111111112, 97.51.17.173, 999.1.1.1, 03.02.1970, 31.02.1970, 078-05-1120, 000-05-1120, DE89 3704 0044 0532 0130 00, 04dbebab91ab85687d33eeaaf9ac699e1188f962"
     docs = spark.createDataFrame([(1, text), (2, "card 4111 1111 1111 1111")], "doc_id long, text string")
