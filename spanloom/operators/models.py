@@ -167,7 +167,10 @@ def fedavg(data: DataFrame, keys: tuple[str, ...] = (), rounds: int = v.ROUNDS,
 
 
 def _sites(data: DataFrame) -> list[str]:
-    return sorted(r[0] for r in data.select("site").distinct().limit(MAX_KEYS).collect())
+    sites = sorted(r[0] for r in data.select("site").distinct().limit(MAX_KEYS + 1).collect())
+    if len(sites) > MAX_KEYS:
+        raise ValueError(f"more than {MAX_KEYS} sites at once")
+    return sites
 
 
 def scored(data: DataFrame, weights: dict[tuple, np.ndarray], keys: tuple[str, ...] = (), fallback: float | None = None) -> DataFrame:
