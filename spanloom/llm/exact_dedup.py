@@ -33,24 +33,25 @@ def _combined(rows: DataFrame, salts: int) -> DataFrame:
     )
 
 
+def _digests(rows: DataFrame, salts: int) -> DataFrame:
+    """(_digest, _variants, keep_id, group_size), one staged row per digest; a digest with one variant is one text."""
+    texts = _combined(rows, salts).groupBy("_digest")
+    return stage(texts.agg(F.count(F.lit(1)).alias("_variants"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")), "digests")
+
+
 def exact_groups(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Column] = _sha256) -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null text counts as empty; the largest doc_id
     stays, null ids sort below all others, and of repeated rows with the same id exactly one is kept. An
-    empty table gives an empty result; other columns of `docs` are ignored.
+    empty table gives an empty result; other columns of `docs` are ignored, whatever their names.
 
     Only digests travel back to the documents. That is exact where a digest has one text, which the
     combining stages have just proven by comparing content; should digests ever collide, those documents,
     and they alone, are joined by content.
     """
     rows = docs.select("doc_id", lower_ascii(F.col("text")).alias("_body")).withColumn("_digest", digest(F.col("_body")))
-    groups = stage(
-        _combined(rows, salts)
-        .groupBy("_digest")
-        .agg(F.count(F.lit(1)).alias("_variants"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")),
-        "digests",
-    )
+    groups = _digests(rows, salts)
     sha = F.col("_digest") if digest is _sha256 else F.sha2("_body", 256)
     slim = rows.select("doc_id", "_digest", sha.alias("text_sha256"))
     found = slim.join(groups.filter("_variants = 1").drop("_variants"), "_digest")
@@ -67,16 +68,23 @@ def exact_groups(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
     )
 
 
-def drop_exact_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column], Column] = _sha256) -> DataFrame:
     """`docs` with one row of each group of equal texts, the one with the largest doc_id; all columns as they were.
 
-    Kept rows are taken back by id and digest. Where several rows share both they are the same text under
-    the same id, and one of them stays.
+    Null and empty texts are equal texts; null ids lose against any other. Of rows that share id and text one
+    stays. An empty table stays empty. Rows travel as one struct, so columns may have any names.
+
+    Which ids stay is known from the digests alone. Rows with the same id and text meet where they are read before
+    the texts move, once, to the key by which the ids that stay are known.
     """
-    kept = exact_groups(docs, salts).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    kept = kept.withColumn("_key", F.xxhash64("_kept_id", "_kept_sha"))
-    marked = docs.withColumn("_row_sha", F.sha2(lower_ascii(F.col("text")), 256)).withColumn("_row_key", F.xxhash64("doc_id", "_row_sha"))
-    same = (marked["_row_key"] == kept["_key"]) & marked["doc_id"].eqNullSafe(kept["_kept_id"]) & (marked["_row_sha"] == kept["_kept_sha"])
-    one = marked.join(kept, same, "left_semi")
-    nth = Window.partitionBy("_row_key", "_row_sha", "doc_id").orderBy(F.lit(1))  # dealt as the join is: the texts move once
-    return one.withColumn("_nth", F.row_number().over(nth)).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    body = lower_ascii(F.col("text"))
+    groups = _digests(docs.select("doc_id", body.alias("_body")).withColumn("_digest", digest(F.col("_body"))), salts)
+    proven = [r["_digest"] for r in groups.filter("_variants > 1").select("_digest").collect()]  # colliding digests: none with SHA-256
+    whole = lambda of, text: F.when(of.isin(proven), text) if proven else F.lit(None).cast("string")  # noqa: E731  else the digest is the text
+    key = lambda i, of, text: F.unhex(F.sha2(F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), of, whole(of, text)), 256))
+    keep = groups.filter("_variants = 1").select(key(F.col("keep_id"), F.col("_digest"), F.lit(None).cast("string")).alias("k"))
+    if proven:
+        rows = docs.select("doc_id", body.alias("_body")).withColumn("_digest", digest(F.col("_body"))).filter(F.col("_digest").isin(proven))
+        keep = keep.union(_combined(rows, salts).select(key(F.col("keep_id"), F.col("_digest"), F.col("_body"))))
+    one = docs.select(key(F.col("doc_id"), digest(body), body).alias("k"), F.struct("*").alias("r")).groupBy("k").agg(F.first("r").alias("r"))
+    return one.join(keep, "k", "left_semi").select("r.*")

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -24,6 +24,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 CELL = 16384
 #: Pairs (fingerprint, word of 64) held in memory at a time.
 JOBS = 1 << 17
+#: Tasks that share the neighbours of one node.
+STARS = 16
 #: Characters hashed at a time, so that very long texts need no memory in proportion.
 PIECE = 1 << 20
 
@@ -302,7 +304,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        # Only the greater neighbours of a node go on; a centre of many is dealt to STARS tasks.
+        least = least.select("a", "m", F.explode(F.sequence(F.lit(0), F.lit(STARS - 1))).alias("salt"))
+        up = now.select(F.col("b").alias("a"), F.col("a").alias("b"), F.pmod(F.xxhash64("a"), F.lit(STARS)).cast("int").alias("salt"))
+        large = up.join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         now = stage(
@@ -349,12 +354,13 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Ids need be neither unique nor present: rows are told apart by id and text. Of several texts with the smallest
     id the one whose digest is lowest stays, of equal rows one; null ids come last, so a component without any id
-    is a group like any other.
+    is a group like any other. Null and empty texts share fingerprint zero and link like any other. An empty table
+    stays empty. Rows travel as one struct, so columns may have any names; equal rows meet where they are read, before
+    the texts move, once.
     """
     key = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256))
     marked = stage(fingerprints(docs, row_key=key), "fingerprints")
     first = _least(marked, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
     gone = marked.join(first, "fp").filter(F.col("row_key") != F.col("least.row_key")).select(F.col("row_key").alias("_gone_key")).distinct()
-    left = docs.withColumn("_row_key", key).join(gone, F.col("_row_key") == F.col("_gone_key"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("_row_key").orderBy(F.lit(1)))  # dealt as the join is
-    return left.withColumn("_nth", nth).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.select(key.alias("k"), F.struct("*").alias("r")).groupBy("k").agg(F.first("r").alias("r"))
+    return one.join(gone, F.col("k") == F.col("_gone_key"), "left_anti").select("r.*")

@@ -16,13 +16,17 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled rows the classifier is fitted on at most (those with the least hash of their id), and nodes kept of what they count.
-MAX_LABELLED, MAX_NODES = 20_000, 50_000
+#: Labelled rows the classifier is fitted on at most (those with the least hash of their id); they bound the nodes too.
+MAX_LABELLED = 20_000
+#: Words in either generation of a worker's memo.
+MEMO = 60_000
 #: Prefix lengths that are nodes, documents of the prior, least log-odds and z score of a
 #: scoring node, and most log-odds: nested nodes see the same documents, so longer odds would count them twice.
 PREFIXES, PRIOR, LEAST_ODDS, LEAST_Z, MOST_ODDS = (4, 5, 6, 7, 8), 2.0, 1.5, 4.0, 6.0
@@ -45,21 +49,28 @@ class Model:
 
     def __post_init__(self) -> None:
         self._memo: dict[str, float] = {}
+        self._older: dict[str, float] = {}
+
+    def _odds_of(self, word: str) -> float:
+        score = self._older.get(word)
+        if score is None:
+            score = next((self.odds[x] for x in nodes_of(word) if x in self.odds), 0.0)
+        if len(self._memo) >= MEMO:  # words met again while a generation fills outlive the other
+            self._older, self._memo = self._memo, {}
+        self._memo[word] = score
+        return score
 
     def hits(self, text: str | None) -> tuple[int, list[tuple[int, float]]]:
         """Number of tokens, and (position, log-odds) of those that score."""
-        words = WORD.findall((text or "").lower())
-        memo = self._memo
-        if len(memo) > 1_000_000:
-            memo.clear()
-        out = []
-        for i, w in enumerate(words):
-            score = memo.get(w)
+        out, n = [], 0
+        for n, m in enumerate(WORD.finditer((text or "").lower()), 1):
+            word = m[0]
+            score = self._memo.get(word)
             if score is None:
-                score = memo[w] = next((self.odds[x] for x in nodes_of(w) if x in self.odds), 0.0)
+                score = self._odds_of(word)
             if score:
-                out.append((i, score))
-        return len(words), out
+                out.append((n - 1, score))
+        return n, out
 
     def expected(self, n: int, score: float) -> float:
         """Log of the number of segments this high in a background text of n tokens."""
@@ -80,24 +91,29 @@ class Model:
 
 
 def segments(hits: list[tuple[int, float]], neutral: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (Ruzzo and Tompa 1999) as (start, end, score); tokens between hits score `neutral`."""
-    kept: list[list[float]] = []  # start, end, sum before, sum after
+    """All maximal scoring segments (Ruzzo and Tompa 1999) as (start, end, score); tokens between hits score `neutral`.
+
+    Each segment kept points to the nearest one before it with a lower sum on its left, so the search for that one
+    follows pointers over what can be no answer, and the scan takes time in proportion to the hits.
+    """
+    kept: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, pointer
     total, at = 0.0, 0
     for position, score in hits:
         total += neutral * (position - at)
-        new = [position, position + 1, total, total + score]
+        start, before = position, total
         total += score
         at = position + 1
+        j = len(kept) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= new[3]:
-                kept.append(new)
+            while j >= 0 and kept[j][2] >= before:
+                j = kept[j][4]
+            if j < 0 or kept[j][3] >= total:
                 break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
+            start, _, before, _, up = kept[j]
             del kept[j:]
-    return [(int(a), int(b), after - before) for a, b, before, after in kept]
+            j = up
+        kept.append((start, at, before, total, j))
+    return [(a, b, after - before) for a, b, before, after, _ in kept]
 
 
 def _fitted_odds(rows: list[tuple[str, int, int]], n0: int, n1: int) -> dict[str, float]:
@@ -134,11 +150,13 @@ def _rate_of(scores: Counter, tokens: int, neutral: float) -> float:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Learn from the labelled documents whose crc32(doc_id as text) mod 5 is not 0, at most `max_labelled` of them.
 
-    Token counts are per document, from whole texts. Without both labels among them the model calls nothing toxic.
+    Token counts are per document, from whole texts. Rows without id or text count as they are: no id, no label; no
+    text, no words. Labels other than 0 and 1 are passed over, of contradicting labels of one id 1 holds, and every row
+    of `docs` with a labelled id is learnt from. Other columns of either table are ignored, whatever their names.
+    Without both labels among the learnt rows, as with an empty table, the model calls nothing toxic.
     """
-    import pyarrow as pa
-
-    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATE)))
     rows = sample.collect()  # max_labelled rows at most
@@ -168,12 +186,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         yield flush()
 
     fitted = of.filter("part > 0").drop("part").mapInArrow(count, "node string, c0 long, c1 long").groupBy("node").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    top = fitted.filter("c1 >= 2 or node = ''").orderBy(F.desc(F.col("c1") / (F.col("c0") + F.col("c1") + 1.0)), "node").limit(MAX_NODES)
-    nodes = {r["node"]: (r["c0"], r["c1"]) for r in top.unionByName(fitted.filter("node = ''")).collect()}
-    n0, n1 = nodes.pop("", (0, 0))
+    fitted = stage(fitted, "toxic-nodes")
+    rows_of = lambda df: [(r["node"], r["c0"], r["c1"]) for r in df.collect()]  # noqa: E731  no more than the labelled rows hold
+    twice = rows_of(fitted.filter("c1 >= 2 or node = ''"))  # what can score by itself, and with it all its prefixes
+    n0, n1 = next(((c0, c1) for node, c0, c1 in twice if node == ""), (0, 0))
     if not n0 or not n1:
         return Model()
-    model = Model(_fitted_odds([(x, *c) for x, c in nodes.items()], n0, n1))
+    twice = [r for r in twice if r[0]]
+    scoring = [x for x, odds in _fitted_odds(twice, n0, n1).items() if odds]
+    # Rarer words below a scoring prefix have a say of their own: clean ones do not score as the prefix does.
+    prefix = F.lit(False)
+    for k in PREFIXES:
+        if same := [x for x in scoring if len(x) == k and x[-1] != " "]:
+            prefix = prefix | ((F.length("node") > k) & F.substring("node", 1, k).isin(same))
+    below = rows_of(fitted.filter(F.col("c1") < 2).filter(prefix))
+    model = Model(_fitted_odds(twice + below, n0, n1))
     seen = pa.schema([("y", pa.int32()), ("n", pa.int64()), ("at", pa.list_(pa.int64())), ("s", pa.list_(pa.float64()))])
 
     def hit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +249,6 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     (exclusive) and log-odds. A null or empty text has no passage and the score of none. Repeated rows pass
     through; only the text enters the score.
     """
-    import pyarrow as pa
-
     passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("odds", pa.float64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("passages", passage)])
 
@@ -242,9 +267,13 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of `docs` not predicted toxic, all columns as they were; the text is judged where it is read, nothing moves."""
-    @F.pandas_udf("boolean")
-    def clean(text: pd.Series) -> pd.Series:
-        return pd.Series([model.judged(t)[0] < 0.5 for t in text], dtype=bool)
+    """Rows of `docs` not predicted toxic, all columns as they were; the text is judged where it is read, nothing moves.
+
+    Null and empty texts are judged like any text without hits, rows with a null id or a repeated one each by their
+    own text. An empty table stays empty; no column is added, so none can clash.
+    """
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        return pa.array([model.judged(cell.as_py())[0] < 0.5 for cell in text], pa.bool_())
 
     return docs.filter(clean(F.col("text")))

@@ -66,16 +66,20 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+CLASHES = ("k", "r", "_gone_key", "_digest", "_body", "keep_id", "row_key", "fp", "y", "part", "items", "kept", "_nth", "_row_sha", "_row_key")
+
+
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stages(spark, tmp_path, k):
     labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
     benchmark(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
     name, step = corpus_pipeline.STAGES[k]
     rows = [(i, t, "en", "s", 1) for i, t, _ in ROWS]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(c) for c in CLASHES})
     out = step(spark, df, str(tmp_path))
     if k < len(corpus_pipeline.STAGES) - 1:
         assert out.columns == df.columns
+        assert all(r[c] == c for r in out.collect() for c in CLASHES)
     got = [r.doc_id for r in out.collect()]
     assert len(got) <= len(rows)
     if name == "exact dedup":  # null and empty are equal texts; a null id loses against any other
@@ -83,3 +87,11 @@ def test_stages(spark, tmp_path, k):
     if name == "benchmark decontamination":
         assert 4 not in got and 5 not in got and 1 in got
     assert step(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("k", (0, 3))
+def test_stages_with_empty_side_tables(spark, tmp_path, k):
+    labels(spark).limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    benchmark(spark).limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    assert corpus_pipeline.STAGES[k][1](spark, df, str(tmp_path)).count() == len(ROWS)

@@ -40,8 +40,10 @@ def test_exact_groups_even_when_digests_collide(docs, digest):
         assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (max(g), len(g), r.doc_id == max(g), hashlib.sha256(lower(TEXTS[r.doc_id]).encode()).hexdigest())
 
 
-def test_exact_filter_keeps_one_each(docs):
-    assert exact_dedup.drop_exact_copies(docs).count() == len({lower(t) for t in TEXTS})
+@pytest.mark.parametrize("digest", [None, lambda c: F.substring(F.sha2(c, 256), 1, 1)])
+def test_exact_filter_keeps_one_each(docs, digest):
+    got = exact_dedup.drop_exact_copies(docs, **({"digest": digest} if digest else {})).collect()
+    assert sorted(map(tuple, got)) == sorted({lower(t): (i, t) for i, t in enumerate(TEXTS)}.values())
 
 
 def test_license_base_counts(docs):
@@ -200,16 +202,60 @@ def test_toxicity_on_held_out_rows(spark):
     assert abs(toxicity.drop_toxic(docs, model).count() - 901) < 20
 
 
+def plain_segments(score):
+    """All maximal segments, by their definition: the best of a stretch (the shortest, then first), then what lies left and right of it."""
+    def within(a, b):
+        best = max(((sum(score[i:j]), i - j, -i) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+        if best[0] <= 0:
+            return []
+        i = -best[2]
+        j = i - best[1]
+        return [*within(a, i), (i, j, best[0]), *within(j, b)]
+
+    return within(0, len(score))
+
+
 def test_segments_against_brute_force():
     random.seed(6)
     for _ in range(300):
-        hits = sorted({random.randrange(30): random.choice([1.0, 2.5, 4.0]) for _ in range(random.randint(1, 8))}.items())
+        hits = sorted({random.randrange(30): random.choice([1.0, 2.53, 4.11, -0.71]) + random.random() / 64 for _ in range(random.randint(1, 12))}.items())
         neutral = random.choice([-0.5, -1.0, -2.0])
-        got = toxicity.segments(hits, neutral)
         score = [dict(hits).get(i, neutral) for i in range(31)]
-        best = max(sum(score[a:b]) for a in range(31) for b in range(a + 1, 32))
-        assert max(s for _, _, s in got) == pytest.approx(best)
-        assert all(s == pytest.approx(sum(score[a:b])) for a, b, s in got) and all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        got = toxicity.segments([h for h in hits if h[1] > 0], neutral) if all(v > 0 for _, v in hits) else [x for x in toxicity.segments(hits, neutral) if x[2] > 0]
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in plain_segments(score)]
+        assert all(s == pytest.approx(sum(score[a:b])) for a, b, s in got)
+
+
+def test_segments_take_linear_time():
+    import time
+
+    random.seed(1)
+    hits = [(3 * i, random.choice([1.0, 2.0, 3.0])) for i in range(1_000_000)]
+    for neutral in (-0.1, -1.0, -5.0):
+        began = time.perf_counter()
+        toxicity.segments(hits, neutral)
+        assert time.perf_counter() - began < 15
+
+
+def test_toxicity_passes_odd_labels_over(spark):
+    rows = [(i, "vile rotten day" if i % 3 == 0 else "sunny fine day") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"toxic": F.lit(7), "y": F.lit("x"), "part": F.lit(0)})
+    plain = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    odd = plain.union(spark.createDataFrame([(1, 2), (2, -1), (None, 1), (4, None), (900, 5)], "doc_id long, toxic int")).withColumn("text", F.lit("x"))
+    scores = [{r.doc_id: r.score for r in toxicity.score_documents(docs, toxicity.fit(docs, labels)).collect()} for labels in (plain, odd)]
+    assert scores[0] == scores[1] and scores[0][0] > 0.5 > scores[0][1]
+    empty = toxicity.fit(docs, plain.limit(0))
+    assert {r.predicted for r in toxicity.score_documents(docs, empty).collect()} == {0}
+
+
+def test_clean_word_below_a_toxic_prefix(spark):
+    rows = [(i, f"vilety{i % 5}x" if i % 2 else "vilelichen stone") for i in range(400)] + [(i, f"vile{chr(97 + i % 20)}") for i in range(400, 3000)]
+    toxic = lambda i: int(i % 2 if i < 400 else 1)
+    rows += [(i, "calm water") for i in range(3000, 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, toxic(i) if i < 3000 else 0) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.hits("vileabc")[1] and not model.hits("vilelichen")[1]
 
 
 def plain_fingerprint(t):
