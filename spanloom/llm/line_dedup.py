@@ -1,122 +1,128 @@
-"""Repeated passages by winnowing over line hashes: anchors, positions, extension both ways, deletion of later runs.
-
-A text is cut into lines: after line feeds and after a punctuation mark followed by a blank, so that a passage
-inside a longer paragraph still has whole lines. Every GRAM consecutive lines have a hash; of each window of
-WINDOW such hashes the least is selected, so any repeated run of GRAM + WINDOW - 1 lines shares a selected anchor
-wherever it stands (Schleimer, Wilkerson and Aiken 2003); shorter runs with enough words are anchors themselves.
-Anchors are joined with the first place where they occur, by (doc_id, row, line), and never with each other; each
-match is extended both ways, and runs of matched lines with enough words are deleted. Only DataFrame functions.
+"""Repeated passages by winnowing over line hashes: window minima, positions, extension both ways, deletion of later runs.
+
+A text is cut into short lines: after line feeds, and after a punctuation mark or a word in d before a blank. Cuts depend on what stands beside them only, so equal passages have equal lines but for a part of a
+line at either end, wherever they begin. Of every WINDOW consecutive line hashes the least is selected (Schleimer,
+Wilkerson and Aiken 2003); the fingerprint of a selected line is the hash of the lines from it on that hold MIN_WORDS
+words, so each fingerprint that recurs is a repeated run by itself, and whatever holds MIN_WORDS words after a window
+of lines shares one. Fingerprints are joined with the first place where they occur, by (doc_id, row, line), and never
+with each other; the runs of each pair of rows at each distance are extended both ways by comparing line hashes, and
+what they cover is deleted. Only DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
 
-#: Zero-width cuts, so that the lines joined are the text.
-CUT = r"(?<=\n)|(?<=[.!?,;:|][ \t])"
-GRAM, WINDOW = 3, 2
-#: White space, as Unicode has it, and what tells that blanks plus one is not the number of words.
+#: Zero-width cuts, so that the lines joined are the text; none within white space, so that each line has a word.
+CUT = r"(?<=\n)(?=\S)|(?<=[.!?,;:|d][ \t])(?=\S)"
+#: Lines of which one is selected.
+WINDOW = 4
+#: White space, as Unicode has it, and what tells that a line's blanks are not its words.
 SPACE = r"\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-UNEVEN = rf"[{SPACE}&&[^ \n]]|  "
-#: Words of whole lines in a run that is deleted: a passage of 50 words, less a line cut off at either end.
-MIN_WORDS = 30
+UNEVEN, DOUBLE = rf"[{SPACE}&&[^ \n]]|\A[ \n]", ("  ", "\n\n", " \n", "\n ")
+#: Words of whole lines in a run that is deleted: a passage of 50 words, less a part of a line and a window.
+MIN_WORDS = 20
+#: Lines of a run and its words in one number: words << LINES | lines.
+LINES = 20
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), CUT)
 
 
-def _anchors(h: Column, w: Column, g: Column, least: int) -> Column:
-    """array of (fp, at, k): selected hashes of k lines and the line they start at. g: the hash of the GRAM lines from each on."""
-    at = lambda a, i: F.get(a, i)  # noqa: E731  null outside
-    none = F.array().cast("array<struct<fp:bigint,at:int,k:int>>")
-    long_enough = lambda i, k: sum((at(w, i + j) for j in range(1, k)), at(w, i)) >= least
-    # Window minima, the left one of equals; and grams that have the words by themselves.
-    chosen = lambda x, i: F.coalesce(x <= at(g, i + 1), i == 0) | F.coalesce(x < at(g, i - 1), F.lit(False)) | long_enough(i, GRAM)
-    of = lambda fp, i, k: F.struct(fp.alias("fp"), i.alias("at"), F.lit(k).alias("k"))
-    kept = lambda array: F.coalesce(F.filter(array, lambda x: x.isNotNull()), none)
-    grams = kept(F.transform(g, lambda x, i: F.when(chosen(x, i), of(x, i, GRAM))))
-    ones = kept(F.transform(w, lambda x, i: F.when(x >= least, of(at(h, i), i, 1))))
-    twos = kept(F.transform(w, lambda x, i: F.when((x < least) & (at(w, i + 1) < least) & long_enough(i, 2), of(F.xxhash64(at(h, i), at(h, i + 1)), i, 2))))
-    return F.concat(grams, ones, twos)
-
-
-def _grams(h: Column) -> Column:
-    n = F.size(h)
-    starts = F.when(n >= GRAM, F.sequence(F.lit(0), n - GRAM)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(GRAM)]))
-
-
-def lines_of(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """row, doc_id, h (hash of each line, blanks trimmed), w (its words), written to shared storage."""
-    lines = _lines(F.col("text"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", lines.alias("lines"))
-    trimmed = F.transform("lines", lambda x: F.btrim(x, F.lit(" \t\r\n")))
-    rows = rows.withColumn("lines", trimmed)
-    h = F.transform("lines", lambda x: F.xxhash64(x))
+def _uneven(text: Column) -> Column:
+    found = text.rlike(UNEVEN)
+    for part in DOUBLE:
+        found = found | text.contains(part)
+    return found
+
+
+def _spots(h: Column, w: Column, least: int) -> Column:
+    """array of (fp, at, k): the selected lines from which on k lines have the words."""
+    minima = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - WINDOW, F.lit(0))), lambda j: F.array_min(F.slice(h, j + 1, F.lit(WINDOW))))
+
+    def spot(m: Column) -> Column:
+        words = lambda i: F.aggregate(  # noqa: E731  a line has a word at least, so `least` lines are enough
+            F.slice(w, i + 1, F.lit(least + 1)), F.lit(0).cast("long"), lambda a, x: F.when(a >= least << LINES, a).otherwise(a + F.shiftleft(x.cast("long"), LINES) + 1)
+        )
+        chosen = lambda x, i: F.array_contains(F.slice(m, F.greatest(i + 2 - WINDOW, F.lit(1)), F.lit(WINDOW)), x)
+        packed = F.filter(F.transform(h, lambda x, i: F.when(chosen(x, i), F.struct(i.alias("at"), words(i).alias("p")))), lambda s: s["p"] >= least << LINES)
+        k = lambda s: s["p"].bitwiseAND(F.lit((1 << LINES) - 1)).cast("int")
+        return F.transform(packed, lambda s: F.struct(F.xxhash64(F.slice(h, s["at"] + 1, k(s))).alias("fp"), s["at"].alias("at"), k(s).alias("k")))
+
+    return F.element_at(F.transform(F.array(minima), spot), 1)  # the minima are computed once
+
+
+def lines_of(docs: DataFrame, least: int = MIN_WORDS, with_text: bool = False) -> DataFrame:
+    """row, doc_id, h (hash of each line), w (its words), spots (its fingerprints), written to shared storage."""
+    text = F.coalesce("text", F.lit(""))
+    # The last line ends like the others, so that it has a word for each blank and is found inside longer texts.
+    closed = F.when((text == "") | text.endswith(" ") | text.endswith("\n"), text).otherwise(F.concat(text, F.lit(" ")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", _uneven(text).alias("uneven"), _lines(closed).alias("lines"))
     # Words are runs of what is not white space; texts with single blanks only need no regex for each line.
-    spaced = F.transform("lines", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
+    spaced = F.transform("lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + x.endswith("\n").cast("int"))
     counted = F.transform("lines", lambda x: F.regexp_count(x, F.lit(f"[^{SPACE}]+")))
-    w = F.when(F.col("text").rlike(UNEVEN), counted).otherwise(spaced)
-    return stage(rows.select("row", "doc_id", h.alias("h"), w.alias("w"), *(["text"] if with_text else [])), "lines")
+    rows = rows.select("row", "doc_id", "text", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.when(F.col("uneven"), counted).otherwise(spaced).alias("w"))
+    return stage(rows.withColumn("spots", _spots(F.col("h"), F.col("w"), least)).select("row", "doc_id", "h", "w", "spots", *(["text"] if with_text else [])), "lines")
+
+
+def _merged(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys`, a, b: spans a to b (exclusive) with the same keys that touch, as one."""
+    before = Window.partitionBy(*keys).orderBy("a")
+    reach = F.max("b").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    opens = spans.withColumn("opens", F.coalesce((F.col("a") > reach).cast("int"), F.lit(1)))
+    return opens.withColumn("run", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("run")
 
 
 def repeats(lines: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """row, covered (numbers of lines that occur earlier, sorted), copies_of, for rows of `lines` that have any.
+    """row, spans (start, end of the lines that occur earlier, sorted), copies_of, for rows of `lines` that have any.
 
-    A run of equal lines has an anchor in every window, so beyond its outermost anchors lie fewer than WINDOW
-    lines: each match grows both ways by the neighbours that travel with the anchor, and the matches of a row
-    join into its runs. Where the first place of an outermost anchor goes on differently than a later one, the run
-    ends with the anchor: it then lacks at most WINDOW - 1 lines at that end, for which MIN_WORDS leaves room.
-    What meets at one key is one row per task for the first place, and is never paired.
+    A run of equal lines has a fingerprint after every window, so beyond its outermost ones lie fewer lines than
+    `least` and a window: so many are compared both ways. Where the first place of an outermost fingerprint goes on
+    differently than a later one, the run may lack as much at that end. What meets at one key is one row per task for
+    the first place, and is never paired.
     """
-    slim = lines.select("row", "doc_id", "h", "w", _grams(F.col("h")).alias("g"))
-    spots = slim.select("row", "doc_id", "h", F.explode(_anchors(F.col("h"), F.col("w"), F.col("g"), least)).alias("x"))
-    # Five longs travel with an anchor: place packs line and length, near packs half the hash of either neighbour
-    # (0 where there is none), so a wrong extension by one line has odds of 1 in 4 billion.
-    half = lambda i: F.coalesce(F.get(F.col("h"), i), F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF))
-    at, k = F.col("x.at"), F.col("x.k")
-    near = F.shiftleft(half(at - 1), 32).bitwiseOR(half(at + k))
-    spots = spots.select("doc_id", "row", "x.fp", (at.cast("long") * 4 + k).alias("place"), near.alias("near"))
-    first = spots.groupBy("fp").agg(F.min(F.struct("doc_id", "row", "place", "near")).alias("first"), F.count(F.lit(1)).alias("n"))
-    # Staged, so that both sides of the join are plain shuffles and a hot anchor's rows can be split at run time.
+    spots = lines.select("row", "doc_id", F.explode("spots").alias("x"))
+    at = F.shiftleft(F.col("x.at").cast("long"), LINES)
+    spots = spots.select("x.fp", "doc_id", "row", at.bitwiseOR(F.col("x.k").cast("long")).alias("place"))
+    first = spots.groupBy("fp").agg(F.min(F.struct("doc_id", "row", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+    # Staged, so that both sides of the join are plain shuffles and a hot fingerprint's rows can be split at run time.
     first = stage(first.filter("n > 1").drop("n"), "first-places")
     later = spots.join(first, "fp").filter("row <> first.row or place <> first.place")
-    upper, lower = (lambda x: F.shiftrightunsigned(x, 32)), (lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))
-    same = lambda f: ((f(F.col("near")) == f(F.col("first.near"))) & (f(F.col("near")) != 0)).cast("int")
-    at, k = (F.col("place") / 4).cast("int"), (F.col("place") % 4).cast("int")
-    spans = later.select("row", F.struct((at - same(upper)).alias("a"), (at + k + same(lower) - 1).alias("b")).alias("span"), F.col("first.doc_id").alias("source"))
-    covered = F.flatten(F.transform(F.collect_set("span"), lambda s: F.sequence(s["a"], s["b"])))
-    return spans.groupBy("row").agg(F.array_sort(F.array_distinct(covered)).alias("covered"), F.array_sort(F.collect_set("source")).alias("copies_of"))
-
-
-def _runs(places: Column, w: Column) -> Column:
-    """Maximal runs of consecutive numbers of a sorted array: start, end (exclusive), words."""
-    starts = F.filter(places, lambda x, i: (i == 0) | (F.get(places, i - 1) != x - 1))
-    ends = F.filter(places, lambda x, i: (i == F.size(places) - 1) | (F.get(places, i + 1) != x + 1))
-    return F.transform(
-        F.arrays_zip(starts.alias("start"), ends.alias("end")),
-        lambda r: F.struct(
-            r["start"].alias("start"),
-            (r["end"] + 1).alias("end"),
-            F.aggregate(F.slice(w, r["start"] + 1, r["end"] - r["start"] + 1), F.lit(0), lambda a, x: a + x).alias("words"),
-        ),
-    )
-
-
-def _report(lines: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    start = lambda place: F.shiftright(place, LINES)
+    spans = later.select("row", F.col("first.row").alias("source"), (start(F.col("place")) - start(F.col("first.place"))).alias("distance"), start(F.col("place")).alias("a"),
+                         (start(F.col("place")) + F.col("place").bitwiseAND(F.lit((1 << LINES) - 1))).alias("b"), F.col("first.doc_id").alias("name"))
+    runs = _merged(spans.repartition("row"), ["row", "source", "distance", "name"])
+    hashes, reach = lines.select(F.col("row").alias("at_row"), F.col("h")), least + WINDOW
+    sourced = runs.join(hashes, F.col("source") == F.col("at_row")).select(
+        "row", "name", "a", "b",
+        F.reverse(F.slice("h", F.greatest(F.col("a") - F.col("distance") - reach, F.lit(0)).cast("int") + 1, F.least(F.col("a") - F.col("distance"), F.lit(reach)).cast("int"))).alias("left"),
+        F.slice("h", (F.col("b") - F.col("distance")).cast("int") + 1, F.lit(reach)).alias("right"),
+    )
+    equal = lambda flags: F.coalesce(F.nullif(F.array_position(flags, False), F.lit(0)) - 1, F.size(flags).cast("long"))  # noqa: E731  how many before the first that differs
+    line = lambda i: F.get("h", i.cast("int"))  # noqa: E731  null outside
+    left = equal(F.transform("left", lambda x, j: x.eqNullSafe(line(F.col("a") - 1 - j))))
+    right = equal(F.transform("right", lambda x, j: x.eqNullSafe(line(F.col("b") + j))))
+    grown = sourced.join(hashes, F.col("row") == F.col("at_row")).select("row", "name", (F.col("a") - left).alias("a"), (F.col("b") + right).alias("b"))
+    names = grown.groupBy("row").agg(F.array_sort(F.collect_set("name")).alias("copies_of"))
+    whole = _merged(grown, ["row"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("a").cast("int").alias("start"), F.col("b").cast("int").alias("end")))).alias("spans"))
+    return whole.join(names, "row")
+
+
+def _report(lines: DataFrame, found: DataFrame) -> DataFrame:
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    out = lines.join(found, "row", "left").withColumn("covered", F.coalesce("covered", F.array().cast("array<int>")))
-    out = out.withColumn("runs", F.filter(_runs(F.col("covered"), F.col("w")), lambda r: r["words"] >= least))
+    out = lines.select(*[c for c in lines.columns if c not in ("h", "spots")]).join(found, "row", "left")
+    runs = F.transform(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), total(F.slice("w", r["start"] + 1, r["end"] - r["start"])).alias("words")))
     return out.withColumns(
         {
-            "copies_of": F.when(F.size("runs") > 0, F.col("copies_of")).otherwise(F.array().cast("array<long>")),
-            "n_lines": F.size("h").cast("long"),
+            "runs": runs,
+            "copies_of": F.coalesce("copies_of", F.array().cast("array<long>")),
+            "n_lines": F.size("w").cast("long"),
             "n_words": total(F.col("w")),
-            "removed_words": total(F.transform("runs", lambda r: r["words"])),
+            "removed_words": total(F.transform(runs, lambda r: r["words"])),
         }
     )
 
@@ -124,18 +130,24 @@ def _report(lines: DataFrame, found: DataFrame, least: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_words, removed_words, runs, copies_of for each row of `docs`.
 
-    runs lists the line intervals (end exclusive, with their words) of at least `least` words that occur earlier,
-    in a row with a smaller (doc_id, place in the table) or further up in the same text; copies_of the ids of the
-    texts they were matched with. Null text counts as empty and has one empty line; null ids sort first; the
-    second of two repeated rows repeats the first. Other columns are ignored.
+    runs lists the line intervals (end exclusive, with their words) covered by runs of at least `least` words that
+    occur earlier, in a row with a smaller (doc_id, place in the table) or further up in the same text; copies_of the
+    ids of the texts they were matched with. Null text counts as empty and has one empty line; null ids sort first;
+    the second of two repeated rows repeats the first. An empty table gives an empty result. Other columns are
+    ignored, whatever their names.
     """
-    lines = lines_of(docs)
-    return _report(lines, repeats(lines, least), least).select("doc_id", "n_lines", "n_words", "removed_words", "runs", "copies_of")
+    lines = lines_of(docs, least)
+    return _report(lines, repeats(lines, least)).select("doc_id", "n_lines", "n_words", "removed_words", "runs", "copies_of")
 
 
 def delete_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """doc_id and text without the runs that repeated_runs reports, one row per row of `docs`; all other characters stay."""
-    lines = lines_of(docs, with_text=True)
-    out = _report(lines, repeats(lines, least), least)
-    left = F.filter(_lines(F.col("text")), lambda x, i: ~F.exists("runs", lambda r: (r["start"] <= i) & (i < r["end"])))
+    """doc_id and text without the runs that repeated_runs reports, one row per row of `docs`; all other characters stay.
+
+    Nulls, empty texts, repeated rows, empty tables and other columns as there.
+    """
+    lines = lines_of(docs, least, with_text=True)
+    out = _report(lines, repeats(lines, least)).withColumn("lines", _lines(F.col("text")))
+    ends = F.concat(F.array(F.lit(0)), F.col("runs.end"))
+    starts = F.concat(F.col("runs.start"), F.array(F.size("lines")))
+    left = F.zip_with(ends, starts, lambda a, b: F.array_join(F.slice("lines", a + 1, F.greatest(b - a, F.lit(0))), ""))
     return out.select("doc_id", F.when(F.size("runs") > 0, F.array_join(left, "")).otherwise(F.coalesce("text", F.lit(""))).alias("text"))

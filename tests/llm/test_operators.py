@@ -353,37 +353,79 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [3]
 
 
-def test_line_dedup_finds_passages(spark):
-    random.seed(9)
-    sentence = lambda: " ".join(random.choices(["".join(random.choices("abcdefghij", k=4)) for _ in range(200)], k=random.randint(4, 9))) + random.choice([". ", ", ", ".\n"])
-    passage = "".join(sentence() for _ in range(10))
-    own = ["".join(sentence() for _ in range(30)) for _ in range(6)]
-    rows = [(0, own[0] + passage + own[1]), (1, own[2] + "cut " + passage + "tail " + own[3]), (2, own[4]), (3, own[5] + own[5])]
-    got = {r.doc_id: r for r in line_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    words = len(passage.split())
-    assert got[0].removed_words == 0 and got[2].removed_words == 0 and got[0].copies_of == []
-    assert got[1].copies_of == [0] and words - 20 <= got[1].removed_words <= words
-    assert got[3].copies_of == [3] and got[3].removed_words >= len(own[5].split()) - 10
-    left = {r.doc_id: r.text for r in line_dedup.delete_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert left[0] == rows[0][1] and left[2] == own[4] and own[2] in left[1] and len(left[1]) < len(rows[1][1]) - 100
+def plain_repeats(rows, least):
+    """For each row the lines that lie in a run of `least` words at least which occurs earlier, by comparing all places."""
+    cut = re.compile(r"(?<=\n)(?=\S)|(?<=[.!?,;:|d][ \t])(?=\S)")
+    texts = []
+    for _, t in rows:
+        places = [0, *[m.start() for m in cut.finditer(t) if 0 < m.start() < len(t)], len(t)]
+        texts.append([t[x:y].rstrip(" ") for x, y in zip(places, places[1:])])
+    out = []
+    for i, mine in enumerate(texts):
+        covered = set()
+        for j in range(i + 1):
+            for distance in range(-len(texts[j]) + 1, len(mine)):
+                if j == i and distance <= 0:
+                    continue
+                run = []
+                for x in range(max(distance, 0), len(mine) + 1):
+                    if x < len(mine) and 0 <= x - distance < len(texts[j]) and mine[x] == texts[j][x - distance]:
+                        run.append(x)
+                    else:
+                        if sum(len(mine[y].split()) for y in run) >= least:
+                            covered |= set(run)
+                        run = []
+        out.append((mine, covered))
+    return out
 
 
-def test_line_dedup_guarantee_against_brute_force(spark):
-    """Every repeated run is covered but for at most WINDOW - 1 lines at either end."""
+def test_line_dedup_finds_passages(spark):
+    """A passage over 50 words that begins and ends within sentences goes from the later text, all else stays."""
+    random.seed(9)
+    word = lambda: "".join(random.choices("abcdefghijdorst", k=random.randint(2, 8)))
+    prose = lambda n: " ".join(word() + ("." if random.random() < 0.06 else "") for _ in range(n))
+    rows = []
+    for k in range(40):
+        passage = prose(51 + k)
+        rows += [(2 * k, f"{prose(40)} {passage} {prose(60)}"), (2 * k + 1, f"{prose(30)} {passage} {prose(20)}")]
+    rows += [(102, prose(300)), (103, "x" + prose(200) + ". " + rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.repeated_runs(df).collect()}
+    left = {r.doc_id: r.text for r in line_dedup.delete_repeats(df).collect()}
+    for k in range(40):
+        assert got[2 * k].removed_words == 0 and got[2 * k + 1].copies_of == [2 * k] and line_dedup.MIN_WORDS <= got[2 * k + 1].removed_words <= 51 + k
+        assert left[2 * k] == rows[2 * k][1]
+    assert got[102].removed_words == 0 and got[103].copies_of[0] == 0
+
+
+def test_line_dedup_against_brute_force(spark):
+    """Nothing but repeated runs goes, and of each no more than a window of lines is missed at either end."""
     random.seed(10)
-    pool = [f"{a} {b} {c} {d} {e} w{i}. " for i, (a, b, c, d, e) in enumerate(zip(*[iter("".join(random.choices("abcdefgh", k=400)))] * 5))]
-    rows = [(i, "".join(pool[a : a + 14])) for i, a in enumerate(random.choices(range(len(pool) - 14), k=25))]
+    pool = [" ".join("".join(random.choices("abcegnds", k=3)) for _ in range(random.randint(1, 6))) + random.choice([". ", ", ", "\n"]) for _ in range(120)]
+    rows = []
+    for i in range(60):  # pieces of the pool, many shorter than a run by themselves, from many sources
+        text = ""
+        while len(text.split()) < 120:
+            a = random.randrange(len(pool))
+            text += "".join(pool[a : a + random.randint(1, 30)])
+        rows.append((i, text))
+    rows.append((60, rows[3][1] + rows[3][1]))
+    # Four pieces of four texts, each too short: none goes.
+    words = lambda c, n: " ".join(f"{c}{i}x." for i in range(n))
+    rows += [(61 + k, words("pqrs"[k], 80)) for k in range(4)] + [(65, " ".join(" ".join(words("pqrs"[k], 80).split()[20:35]) for k in range(4)))]
+    least = line_dedup.MIN_WORDS
     got = {r.doc_id: r for r in line_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    seen = set()
-    for i, t in rows:
-        lines = re.split(r"(?<=[.!?,;:|][ \t])", t)
-        n, less = 8, line_dedup.WINDOW - 1  # lines of 6 words; 6 of them are enough
-        runs = [tuple(lines[a : a + n]) for a in range(len(lines) - n + 1)]
+    for (i, _), (lines, wanted) in zip(rows, plain_repeats(rows, least)):
+        covered = {x for r in got[i].runs for x in range(r.start, r.end)}
+        assert got[i].n_lines == len(lines) and covered <= wanted, i
+        assert got[i].removed_words == sum(len(lines[x].split()) for x in covered)
+    long = plain_repeats(rows, least + 40)
+    assert sum(len(w) for _, w in long) > 100
+    for (i, _), (lines, wanted) in zip(rows, long):  # within every long run all but its outer parts
         covered = {x for r in got[i].runs for x in range(r.start, r.end)}
-        for a, run in enumerate(runs):
-            if run in seen:
-                assert set(range(a + less, a + n - less)) <= covered
-        seen |= set(runs)
+        inner = {x for x in wanted if all(y in wanted for y in range(x - line_dedup.WINDOW - 12, x + line_dedup.WINDOW + 13))}
+        assert inner <= covered, i
+    assert got[65].removed_words == 0 and got[60].removed_words >= len(rows[3][1].split())
 
 
 def test_line_dedup_counts_words_between_any_white_space(spark):
