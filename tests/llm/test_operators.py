@@ -362,7 +362,7 @@ def plain_repeats(rows, least):
         texts.append([t[x:y].rstrip(" ") for x, y in zip(places, places[1:])])
     out = []
     for i, mine in enumerate(texts):
-        covered = set()
+        covered, runs = set(), []
         for j in range(i + 1):
             for distance in range(-len(texts[j]) + 1, len(mine)):
                 if j == i and distance <= 0:
@@ -374,8 +374,9 @@ def plain_repeats(rows, least):
                     else:
                         if sum(len(mine[y].split()) for y in run) >= least:
                             covered |= set(run)
+                            runs.append(run)
                         run = []
-        out.append((mine, covered))
+        out.append((mine, covered, runs))
     return out
 
 
@@ -415,16 +416,17 @@ def test_line_dedup_against_brute_force(spark):
     rows += [(61 + k, words("pqrs"[k], 80)) for k in range(4)] + [(65, " ".join(" ".join(words("pqrs"[k], 80).split()[20:35]) for k in range(4)))]
     least = line_dedup.MIN_WORDS
     got = {r.doc_id: r for r in line_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for (i, _), (lines, wanted) in zip(rows, plain_repeats(rows, least)):
+    for (i, _), (lines, wanted, _) in zip(rows, plain_repeats(rows, least)):
         covered = {x for r in got[i].runs for x in range(r.start, r.end)}
         assert got[i].n_lines == len(lines) and covered <= wanted, i
         assert got[i].removed_words == sum(len(lines[x].split()) for x in covered)
     long = plain_repeats(rows, least + 40)
-    assert sum(len(w) for _, w in long) > 100
-    for (i, _), (lines, wanted) in zip(rows, long):  # within every long run all but its outer parts
+    assert sum(len(w) for _, w, _ in long) > 100
+    for (i, _), (lines, _, runs) in zip(rows, long):  # of every long run all but a window at its start, and a fingerprint and a window at its end
         covered = {x for r in got[i].runs for x in range(r.start, r.end)}
-        inner = {x for x in wanted if all(y in wanted for y in range(x - line_dedup.WINDOW - 12, x + line_dedup.WINDOW + 13))}
-        assert inner <= covered, i
+        for run in runs:
+            last = next(k for k in range(len(run)) if sum(len(lines[x].split()) for x in run[k:]) < least)
+            assert set(run[line_dedup.WINDOW : last - line_dedup.WINDOW]) <= covered, (i, run)
     assert got[65].removed_words == 0 and got[60].removed_words >= len(rows[3][1].split())
 
 
