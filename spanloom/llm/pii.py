@@ -19,8 +19,8 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rounds of the network (as the published format-preserving modes use), and the key of tests; pass your own.
-ROUNDS, TEST_KEY = 10, b"test key, not a secret"
+#: Rounds of the network (as the published format-preserving modes use).
+ROUNDS = 10
 #: Days that count as dates.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 #: Lengths of international bank account numbers by country.
@@ -102,7 +102,7 @@ def _laid(pattern: str, characters: Iterator[str], where: Callable[[str], bool])
 class Pseudonyms:
     """Validation of each kind, and its permutation. None means the value is no member of the kind."""
 
-    def __init__(self, key: bytes = TEST_KEY, inverse: bool = False):
+    def __init__(self, key: bytes, inverse: bool = False):
         self.feistel, self.inverse = Feistel(key), inverse
 
     def _walk(self, value: int, n: int, tweak: str) -> int:
@@ -142,9 +142,10 @@ class Pseudonyms:
                 continue
             if not FIRST_DAY <= day <= LAST_DAY:
                 continue
-            # Month-first dates are those that day-first does not read; their pseudonyms must be so too.
-            tweak, members = f"date{order}", _days(order == (2, 0, 1))
-            fresh = members[self._walk(bisect.bisect_left(members, day), len(members), tweak)]
+            # Month-first is read only where the day is over 12, and its pseudonym must be so too: such days are permuted
+            # among themselves, in every order of the fields, so that a day has one pseudonym however it is written.
+            members = _days(day.day > 12)
+            fresh = members[self._walk(bisect.bisect_left(members, day), len(members), f"date{day.day > 12}")]
             fields = [0, 0, 0]
             for k, v in zip(order, (fresh.year, fresh.month, fresh.day)):
                 fields[k] = v
@@ -242,7 +243,7 @@ class Pseudonyms:
         at = 0
         while m := NUMERIC.search(text, at):
             value = self.value_at(text, m.start())
-            if value is not None and not any(a < value[0] and m.start() < b for a, b in taken[_before(taken, m.start()) :][:2]):
+            if value is not None and not any(a < value[0] and m.start() < b for a, b in _near(taken, m.start())):
                 out.append((m.start(), *value))
                 at = value[0]
             else:  # no valid value begins here: one may further on
@@ -264,31 +265,34 @@ def _printed(text: str, start: int) -> list[int]:
     return out
 
 
-def _before(taken: list[tuple[int, int]], at: int) -> int:
-    return max(0, bisect.bisect_right(taken, (at, 1 << 60)) - 1)
+def _near(taken: list[tuple[int, int]], at: int) -> list[tuple[int, int]]:
+    """The span that begins last before `at`, or there, and the next one."""
+    k = max(0, bisect.bisect_right(taken, (at, 1 << 60)) - 1)
+    return taken[k : k + 2]
 
 
 _DAYS: dict[bool, list[datetime.date]] = {}
 
 
-def _days(month_first: bool) -> list[datetime.date]:
-    """Days that are read in this order: those with a day over 12 for month first, else all."""
-    if month_first not in _DAYS:
-        every = [FIRST_DAY + datetime.timedelta(k) for k in range((LAST_DAY - FIRST_DAY).days + 1)]
-        _DAYS[month_first] = [d for d in every if d.day > 12] if month_first else every
-    return _DAYS[month_first]
+def _days(late: bool) -> list[datetime.date]:
+    """Days of all months over 12, or up to it."""
+    if late not in _DAYS:
+        every = (FIRST_DAY + datetime.timedelta(k) for k in range((LAST_DAY - FIRST_DAY).days + 1))
+        _DAYS[late] = [d for d in every if (d.day > 12) == late]
+    return _DAYS[late]
 
 
 def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
-def pseudonymise(docs: DataFrame, key: bytes = TEST_KEY, inverse: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, inverse: bool = False) -> DataFrame:
     """doc_id, text, n_values, kinds, spans for each row of `docs`.
 
     text has every valid value replaced by its pseudonym; spans lists start, end (characters of the original),
     kind and pseudonym; kinds is the distinct kinds, sorted and comma-joined. Look-alikes that fail validation
-    stay. With the same key and `inverse` the originals come back. Null texts count as empty; repeated rows and
+    stay. `key` has no default: who holds it can go back, with `inverse`. Days keep to one side of the 12th of a month,
+    since dates that could be read two ways must be read as before. An empty table gives an empty result. Null texts count as empty; repeated rows and
     null ids pass through; other columns are ignored. Rows are independent: nothing is shuffled.
     """
     import pyarrow as pa
