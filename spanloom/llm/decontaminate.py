@@ -9,19 +9,22 @@ are dropped, the regions of the others are aligned within the band (Rasmussen, S
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free, stage
+
 WORD = re.compile(r"\w+")
 #: Length of the grams, edits allowed as a share of an item's characters.
 GRAM, BUDGET = 10, 0.07
-#: Characters of benchmark text that one pass over the documents holds; larger benchmarks take more passes.
-BLOCK_CHARS = 32_000_000
+#: Characters of benchmark text that one pass over the documents holds (an index takes some 40 bytes for each); larger
+#: benchmarks take more passes, of which each is written before the next block reaches the driver.
+BLOCK_CHARS = 4_000_000
 #: Characters of documents looked at together, and bits of the prefilter's index.
 SLAB, FILTER_BITS = 1 << 20, 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -63,8 +66,12 @@ def alignment(item: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, i
     m, width = len(item), len(region) - len(item) + 2 * budget + 1
     if width <= 0:
         return None
+    sought, found = item.tobytes(), -1
+    while (found := region.tobytes().find(sought, found + 1)) >= 0:  # the item itself needs no rows
+        if found % 4 == 0:
+            return 0, found // 4, found // 4 + m
     padded = np.concatenate((np.full(budget, 0xFFFFFFFF, np.uint32), region, np.full(budget + 1, 0xFFFFFFFF, np.uint32)))
-    big, steps = 1 << 20, np.arange(width)
+    big, steps = m + len(region) + 1, np.arange(width)
     row = np.zeros(width, np.int64)  # row[j]: item[:i] ends at padded[j + i]
     begun = steps.copy()
     for i in range(m):
@@ -95,6 +102,7 @@ class Index:
         self.edits = np.minimum((size * budget).astype(np.int64), (size - q) // q)  # the lemma needs t >= 1
         self.least = size + 1 - q * (self.edits + 1)
         self.step = np.maximum(16, 2 * self.edits + 1)
+        self.shift = 2 * int(size.max(initial=0)) + 1  # keeps numbers of diagonals and bands positive
         grams = [_grams(c, q) for c in self.codes]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
@@ -122,7 +130,7 @@ class Index:
                 continue
             entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[slot[part]], n)
             item = self.item[entry]
-            diagonal = np.repeat(places[part], n) - self.at[entry] + (1 << 20)
+            diagonal = np.repeat(places[part], n) - self.at[entry] + self.shift
             step = self.step[item]
             band = diagonal // step
             low = diagonal - band * step < 2 * self.edits[item]  # also lies in the overlap of the band before
@@ -160,7 +168,7 @@ class Index:
         starts = np.concatenate(([0], ends[:-1]))
         for item, band in self._candidates(codes).tolist():
             k, m = int(self.edits[item]), int(self.size[item])
-            low = band * int(self.step[item]) - (1 << 20) - k
+            low = band * int(self.step[item]) - self.shift - k
             high = low + int(self.step[item]) + 4 * k + m
             for piece in range(int(np.searchsorted(ends, max(low, 0), "right")), len(slab)):
                 if starts[piece] >= high:
@@ -177,13 +185,30 @@ class Index:
                     out[doc][name] = min(out[doc].get(name, place), place)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, in blocks of about BLOCK_CHARS characters: the size is looked at before anything is collected."""
-    items = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+def _blocks(benchmark: DataFrame) -> tuple[int, Callable[[int], list[tuple[int, str]]]]:
+    """Number of blocks of about BLOCK_CHARS characters, and what collects one of them."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null and item_id is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = -(-total // BLOCK_CHARS) or 1
-    for k in range(n):
-        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id").collect()]
+    return n, lambda k: [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
+
+
+_HITS = "array<struct<item_id:long,edits:int,start:int,end:int>>"
+
+
+def _searched(rows: DataFrame, columns: list[tuple[str, pa.DataType, str]], block: list[tuple[int, str]], q: int, budget: float) -> DataFrame:
+    """`columns` (name, type, DDL) of `rows`, and items, those of the block that its text holds."""
+    index = rows.sparkSession.sparkContext.broadcast(Index(block, q, budget))  # of a block, so bounded
+    found = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+    schema = pa.schema([*[(name, kind) for name, kind, _ in columns], ("items", found)])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = index.value.search([normalised(cell.as_py()) for cell in batch.column("text")])
+            items = [[{"item_id": i, "edits": e, "start": a, "end": b} for i, (e, a, b) in sorted(new.items())] for new in hits]
+            yield pa.RecordBatch.from_arrays([*[batch.column(name) for name, _, _ in columns], pa.array(items, found)], schema=schema)
+
+    return rows.mapInArrow(work, ", ".join(f"{name} {ddl}" for name, _, ddl in columns) + f", items {_HITS}")
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, q: int = GRAM, budget: float = BUDGET) -> DataFrame:
@@ -192,39 +217,50 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, q: int = GRAM, budget:
     An item is in a document if some place is within budget * its length edits of it, both normalised to
     lower-case words joined by blanks; start and end count characters of the normalised text. Null texts count as
     empty; null items, and items shorter than q characters, match nothing; an empty benchmark leaves all clean.
-    Repeated rows and null ids pass through; other columns are ignored. Nothing is shuffled.
+    Items with one id are one item, which any of its texts shows. Repeated rows and null ids pass through; other
+    columns are ignored, whatever their names. With one block nothing is shuffled; with more, each pass writes the
+    texts it found something in, by digest, and these meet the documents' digests in the end.
     """
-    import pyarrow as pa
-
-    found = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("items", found)])
-    ddl = "doc_id long, text string, items array<struct<item_id:long,edits:int,start:int,end:int>>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.array().cast("array<struct<item_id:long,edits:int,start:int,end:int>>").alias("items"))
-    blocks = list(_blocks(benchmark))
-    for k, block in enumerate(blocks):
-        index, last = Index(block, q, budget), k + 1 == len(blocks)
-
-        def work(batches: Iterable[pa.RecordBatch], index: Index = index, last: bool = last) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column("text").to_pylist()
-                hits = index.search([normalised(t) for t in texts])
-                items = [old + [{"item_id": i, "edits": e, "start": a, "end": b} for i, (e, a, b) in sorted(new.items())] for old, new in zip(batch.column("items").to_pylist(), hits)]
-                kept = pa.nulls(len(texts), pa.string()) if last else batch.column("text")  # texts stay in the worker at the last pass
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), kept, pa.array(items, found)], schema=schema)
-
-        rows = rows.mapInArrow(work, ddl)
-    return rows.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.array_sort("items").alias("items"))
+    n, block = _blocks(benchmark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if n == 1:
+        found = _searched(rows, [("doc_id", pa.int64(), "long")], block(0), q, budget)
+    else:
+        keyed = rows.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
+        passes = [stage(_searched(keyed.select("digest", "text"), [("digest", pa.binary(), "binary")], block(k), q, budget).filter("size(items) > 0"), "benchmark-hits") for k in range(n)]
+        first = [p.groupBy("digest").agg(F.first("items").alias("items")) for p in passes]  # equal texts hold the same
+        together = first[0]
+        for p in first[1:]:
+            together = together.union(p)
+        best = F.array_sort(F.flatten(F.collect_list("items")))
+        lesser = F.filter(best, lambda x, i: (i == 0) | (F.get(best, i - 1)["item_id"] != x["item_id"]))  # an id in two blocks: fewest edits
+        hits = stage(together.groupBy("digest").agg(lesser.alias("items")), "benchmark-items")
+        for p in passes:
+            free(p)
+        found = keyed.drop("text").join(hits, "digest", "left").select("doc_id", F.coalesce("items", F.array().cast(_HITS)).alias("items"))
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.array_sort("items").alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = GRAM, budget: float = BUDGET) -> DataFrame:
-    """Rows of `docs` that hold no benchmark item, all columns as they were; judged where they are read."""
-    def clean(block: list[tuple[int, str]]):
-        index = Index(block, q, budget)
+    """Rows of `docs` that hold no benchmark item, all columns as they were; judged where they are read.
+
+    Null and empty texts hold none and stay, rows with a null or repeated id are judged each by its own text, an
+    empty benchmark drops nothing, an empty table stays empty; no column is added, so none can clash. Where the
+    benchmark takes several passes, each but the last writes what it leaves.
+    """
+    n, block = _blocks(benchmark)
+    left = docs
+    for k in range(n):
+        before, left = left, left.filter(_clean(docs.sparkSession.sparkContext.broadcast(Index(block(k), q, budget)))(F.col("text")))
+        if k + 1 < n:
+            left = stage(left, "benchmark-left")
+            free(before)
+    return left
 
-        @F.pandas_udf("boolean")
-        def judge(text: pd.Series) -> pd.Series:
-            return pd.Series([not found for found in index.search([normalised(t) for t in text])], dtype=bool)
 
-        return judge(F.col("text"))
+def _clean(index: Broadcast):  # noqa: ANN202
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        return pa.array([not found for found in index.value.search([normalised(cell.as_py()) for cell in text])], pa.bool_())
 
-    return docs.filter(reduce(lambda a, b: a & b, [clean(block) for block in _blocks(benchmark)]))
+    return clean
