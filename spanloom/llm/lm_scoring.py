@@ -5,9 +5,11 @@ text has one, and all other words share one. Within the shared class a word has
 and all words unseen in training together what the discount left (Good and Turing), so the probabilities of the
 words seen, the end, and "unseen" sum to one after every context.
 
-Counts are exact over all training texts. Training is data-parallel: every task starts from the same parameters,
-makes one pass over its part in numpy, and the results are averaged by token count in two levels, so what meets in
-one place is bounded by the size of the model. Probabilities are normalised by batched matrix products over the
+Counts are exact over all training texts, and the classes grow with the square root of the number of distinct words.
+Training is data-parallel: rows are dealt to shards by a hash of what they hold, so many as the number of tokens asks
+for; each shard starts from the same parameters and makes one pass in numpy, and the results are averaged by token
+count in a tree, so what meets in one place is FAN_IN models, and the model does not depend on the number of tasks.
+Probabilities are normalised by batched matrix products over the
 distinct contexts of a batch.
 """
 
@@ -17,7 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,6 +29,10 @@ from .common import stage
 
 #: Classes of the neural model, width of its vectors, words of context, noise words per batch, tokens per batch, step size.
 CLASSES, WIDTH, CONTEXT, NOISE, BATCH, STEP = 512, 24, 2, 32, 8192, 0.05
+#: Distinct words up to which CLASSES classes are enough; with four times as many there are twice the classes.
+TYPES = 1 << 21
+#: Training tokens of a shard, and models averaged in one place.
+SHARD, FAN_IN = 2_000_000, 32
 #: Most frequent words whose counts every worker holds; counts of all others are joined. A bound, not a cut: both ways give the same.
 HELD = 400_000
 #: Key of the end of a text among the words; no word holds a line feed.
@@ -81,14 +87,20 @@ class Vocabulary:
     counts: dict[bytes, int]  # of the words held
     shared: int  # training tokens of class 1
     unseen: float  # share of class 1 for words never seen
+    least: int | None  # all words with this count or more are held
 
     @property
     def classes(self) -> int:
         return len(self.head) + 1
 
 
-def vocabulary(counts: DataFrame, classes: int = CLASSES, held: int = HELD) -> Vocabulary:
-    """`counts` as word_counts gives; at most `held` words reach the driver."""
+def classes_for(types: int) -> int:
+    """A power of two times CLASSES."""
+    return CLASSES << max(0, (math.ceil(math.log2(max(types, 1) / TYPES)) + 1) // 2)
+
+
+def vocabulary(counts: DataFrame, classes: int | None = None, held: int = HELD) -> Vocabulary:
+    """`counts` as word_counts gives; at most `held` words, those of the classes and the end reach the driver."""
     n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).first()
     level = F.floor(F.log2("c") * 16).cast("long")
     rows = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).orderBy(F.desc("level")).collect()
@@ -100,14 +112,13 @@ def vocabulary(counts: DataFrame, classes: int = CLASSES, held: int = HELD) -> V
         least = r["least"]
     top = [] if least is None else counts.filter(F.col("c") >= least).collect()
     known = {r["word"].encode(): r["c"] for r in top}
-    order = sorted((w for w in known if w != _END), key=lambda w: (-known[w], w))
-    if least is None or _END not in known:
-        ends = counts.filter(F.col("word") == END).first()
-        if ends:
-            known[_END] = ends["c"]
-    head = {_END: 0} | {w: k for k, w in enumerate(order[: classes - 2], 2)}
+    classes = classes or classes_for(v)
+    most = counts.filter(F.col("word") != END).orderBy(F.desc("c"), "word").limit(classes - 2).collect()
+    known |= {r["word"].encode(): r["c"] for r in most}  # words that tie at the edge of `held` too
+    known |= {_END: r["c"] for r in counts.filter(F.col("word") == END).collect()}
+    head = {_END: 0} | {r["word"].encode(): k for k, r in enumerate(most, 2)}
     shared = n - sum(known.get(w, 0) for w in head)
-    return Vocabulary(n, v, head, known, shared, (once + 1) / (shared + once + 2))
+    return Vocabulary(n, v, head, known, shared, (once + 1) / (shared + once + 2), least)
 
 
 class LogBilinear:
@@ -209,64 +220,77 @@ def train(docs: DataFrame, v: Vocabulary) -> LogBilinear:
     import pyarrow as pa
 
     start = LogBilinear(_unigram(v))
-    head = v.head
-    schema = pa.schema([("n", pa.float64()), ("sum", pa.binary())])
+    shards = max(1, -(-v.tokens // SHARD))
+    shipped = docs.sparkSession.sparkContext.broadcast((v.head, start.noise))
+    schema = pa.schema([("shard", pa.int64()), ("n", pa.float64()), ("sum", pa.binary())])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LogBilinear(start.noise)
-        parts: list[np.ndarray] = []
-        size = 0
+        """Rows of a shard stand together, in an order of their own."""
+        head, noise = shipped.value
+
+        def texts() -> Iterator[tuple[int, str | None]]:
+            for batch in batches:
+                for shard, cell in zip(batch.column("shard").to_pylist(), batch.column("text")):
+                    yield shard, cell.as_py()
 
-        def drain() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            nonlocal parts, size
+        def stream(rows: Iterable[tuple[int, str | None]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            parts: list[np.ndarray] = []
+            size = 0
+            for _, text in rows:
+                parts.append(_sequence(_words(text), head))
+                size += len(parts[-1])
+                if size > 64 * BATCH:
+                    yield from mixed(parts)
+                    parts, size = [], 0
+            if parts:
+                yield from mixed(parts)
+
+        def mixed(parts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             h, w = _contexts(parts)
-            mixed = np.random.default_rng(len(w)).permutation(len(w))  # neighbours of a text in different batches
+            order = np.random.default_rng(len(w)).permutation(len(w))  # neighbours of a text in different batches
             for at in range(0, len(w), BATCH):
-                rows = mixed[at : at + BATCH]
+                rows = order[at : at + BATCH]
                 yield h[rows], w[rows]
-            parts, size = [], 0
 
-        def stream() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            nonlocal size
-            for batch in batches:
-                for cell in batch.column("text"):
-                    parts.append(_sequence(_words(cell.as_py()), head))
-                    size += len(parts[-1])
-                    if size > 64 * BATCH:
-                        yield from drain()
-            if parts:
-                yield from drain()
+        for shard, rows in groupby(texts(), key=lambda x: x[0]):
+            model = LogBilinear(noise)
+            n = model.train(stream(rows))
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "n": [float(n)], "sum": [(model.flat().astype(np.float64) * n).tobytes()]}, schema=schema)
+
+    def add(table: pa.Table) -> pa.Table:
+        n, total = _added(zip(table.column("shard").to_pylist(), table.column("n").to_pylist(), table.column("sum")))
+        return pa.table({"shard": [min(table.column("shard").to_pylist()) // FAN_IN], "n": [n], "sum": [total.tobytes()]}, schema=schema)
+
+    ddl = "shard long, n double, sum binary"
+    text = docs.filter(f"not ({HELD_OUT})").select("text", F.xxhash64("doc_id", "text").alias("at"))
+    text = text.withColumn("shard", F.pmod("at", F.lit(shards)))
+    models = text.repartition(shards, "shard").sortWithinPartitions("shard", "at", "text").select("shard", "text").mapInArrow(work, ddl)
+    while shards > FAN_IN:
+        models, shards = models.groupBy(F.expr(f"shard div {FAN_IN}")).applyInArrow(add, ddl), -(-shards // FAN_IN)
+    rows = models.collect()  # FAN_IN models at most
+    if rows:
+        n, total = _added([(r["shard"], r["n"], r["sum"]) for r in rows])
+        start.load(total / n)
+    return start
 
-        n = model.train(stream())
-        if n:
-            yield pa.RecordBatch.from_pydict({"n": [float(n)], "sum": [(model.flat().astype(np.float64) * n).tobytes()]}, schema=schema)
 
-    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0.0, None
-        for batch in batches:
-            for k, blob in zip(batch.column("n").to_pylist(), batch.column("sum")):
-                part = np.frombuffer(blob.as_py())
-                n, total = n + k, part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"n": [n], "sum": [total.tobytes()]}, schema=schema)
-
-    ddl = "n double, sum binary"
-    text = docs.filter(f"not ({HELD_OUT})").select("text")
-    parts = text.mapInArrow(work, ddl)
-    wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = parts.repartition(wide).mapInArrow(add, ddl).repartition(1).mapInArrow(add, ddl).collect()
-    for r in rows:  # one row, the size of the model
-        start.load(np.frombuffer(r["sum"]) / r["n"])
-    return start
+def _added(models: Iterable[tuple[int, float, object]]) -> tuple[float, np.ndarray]:
+    """Sums of (shard, n, sum) by shard, so that the order of arrival does not matter."""
+    n, total = 0.0, None
+    for _, k, blob in sorted(models, key=lambda m: m[0]):
+        part = np.frombuffer(blob.as_py() if hasattr(blob, "as_py") else blob)
+        n, total = n + k, part if total is None else total + part
+    return n, total
 
 
-def score_documents(docs: DataFrame, classes: int = CLASSES, held: int = HELD) -> DataFrame:
+def score_documents(docs: DataFrame, classes: int | None = None, held: int = HELD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`.
 
     Learns from the rows not held out (crc32(doc_id as text) mod 7 is not 2; a null id counts as empty text). A
     null text counts as empty and has one token, its end. base_score is the add-one unigram log10 probability,
     score the neural model's, in which an unseen word has the probability of "unseen" as a whole. Without
-    training rows base_score is 0 and score that of the untrained model. Repeated rows pass through.
+    training rows base_score is 0 and score that of the untrained model. Repeated rows pass through; an empty table
+    gives an empty result; other columns are ignored, whatever their names. `classes` is what classes_for says unless given.
     """
     import pyarrow as pa
 
@@ -330,7 +354,7 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, held: int = HELD) -
     ddl = "doc_id long, held_out boolean, n_tokens long, known long, base double, neural double, tail array<struct<word:string,tf:int>>"
     first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(HELD_OUT).alias("held_out"), "text")
     scored = stage(first.mapInArrow(work, ddl).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    least = min((c for w, c in v.counts.items() if w != _END), default=1 << 62)  # words this frequent are all held
+    least = 1 << 62 if v.least is None else v.least
     rest = counts.filter((F.col("c") < least) & (F.col("word") != END)).withColumnRenamed("word", "w")
     rare = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.tf").alias("tf"))
     found = rare.join(rest, F.col("word") == F.col("w"), "left")
