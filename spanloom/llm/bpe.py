@@ -44,7 +44,7 @@ class MergeList:
         made = [bytes([b]) for b in range(256) if bytes([b]) in vocab] + [a + b for a, b in merges]
         #: Tokens that the merges do build from their bytes; any other entry of the vocabulary never occurs.
         self.made = {t: vocab[t] for t in made if self.merged(t) == [vocab[t]]}
-        self._beside: dict[tuple[int, int], bool] = {}
+        self._beside: dict[int, bool] = {}
         # Tokens read backwards: (node << 8 | byte) -> node, and the token that a node completes.
         self.back: dict[int, int] = {}
         self.ends_at: list[int] = [-1]
@@ -76,11 +76,11 @@ class MergeList:
         return parts
 
     def beside(self, left: int, right: int) -> bool:
-        if (known := self._beside.get((left, right))) is None:
-            if len(self._beside) > 4 * MEMO:
+        if (known := self._beside.get(left << 32 | right)) is None:
+            if len(self._beside) > 2 * MEMO:
                 self._beside.clear()
             known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            self._beside[left, right] = known
+            self._beside[left << 32 | right] = known
         return known
 
 
@@ -112,7 +112,7 @@ class Encoder:
                     left = last[k - 1] if k else before
                     if left is None:
                         break
-                    fits = known.get((left, token))
+                    fits = known.get(left << 32 | token)
                     if fits or (fits is None and m.beside(left, token)):
                         break
                 else:
@@ -198,6 +198,19 @@ class _Memo(dict):
         return packed
 
 
+def _understood(spec: dict) -> None:
+    """Refuse a file with settings that would change the tokens and that this machine does not implement."""
+    model, pre, after = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix") if model.get(k)]
+    odd += [k for k in ("byte_fallback", "ignore_merges") if model.get(k)]
+    odd += ["model"] * (model.get("type", "BPE") != "BPE") + ["normalizer"] * bool(spec.get("normalizer"))
+    odd += ["pre_tokenizer"] * (pre.get("type") != "ByteLevel" or bool(pre.get("add_prefix_space")) or not pre.get("use_regex", True))
+    odd += ["decoder"] * (after.get("type") != "ByteLevel")
+    odd += [f"added token {t['content']!r}" for t in spec.get("added_tokens", []) if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") and spec.get("normalizer")]
+    if odd:
+        raise ValueError("not a plain byte-level BPE file: " + ", ".join(odd))
+
+
 class Tokenizer:
     """Reads a byte-level BPE file of the tokenizers library; no part of that library runs."""
 
@@ -206,6 +219,7 @@ class Tokenizer:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _understood(spec)
         byte = _byte_symbols()
         raw = lambda s: bytes(byte[c] for c in s)
         model = spec["model"]
