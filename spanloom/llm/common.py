@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,10 +53,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to shared storage and read it back.
 
     This cuts lineage: what is downstream survives lost executors without recomputing what is
-    upstream, and nondeterministic columns (row numbers) are drawn once. Dropped when Python ends.
+    upstream, and nondeterministic columns (row numbers) are drawn once. Dropped by free(), or when Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+_PATHS: dict[int, str] = {}
+
+
+def free(staged: DataFrame) -> None:
+    """Drop what stage() wrote; for tables that no plan still to run reads."""
+    if path := _PATHS.get(id(staged)):
+        _drop(staged.sparkSession, path)

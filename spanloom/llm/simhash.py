@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import free, stage
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of one key compared in one piece of work; larger keys are cut into a grid of such pieces.
@@ -310,10 +310,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = up.join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        now = stage(
+        last, now = now, stage(
             small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(),
             "stars",
         )
+        free(last)
         total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(total) == state:
             break
