@@ -38,7 +38,7 @@ OPERATORS = {
     "lm": lambda s, d: lm_scoring.score_documents(d, classes=8, held=4),
     "toxicity": lambda s, d: toxicity.score_documents(d, toxicity.fit(d, labels(s))),
     "simhash": lambda s, d: simhash.near_groups(d),
-    "pii": lambda s, d: pii.pseudonymise(d),
+    "pii": lambda s, d: pii.pseudonymise(d, b"k"),
 }
 
 
