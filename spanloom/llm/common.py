@@ -49,7 +49,7 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write a table to shared storage and read it back.
 
     This cuts lineage: what is downstream survives lost executors without recomputing what is
@@ -57,7 +57,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     atexit.register(_drop, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = path

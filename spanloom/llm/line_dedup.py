@@ -2,7 +2,7 @@
 
 A text is cut into short lines: after line feeds, and after a punctuation mark or a word in d before a blank. Cuts depend on what stands beside them only, so equal passages have equal lines but for a part of a
 line at either end, wherever they begin. Of every WINDOW consecutive line hashes the least is selected (Schleimer,
-Wilkerson and Aiken 2003); the fingerprint of a selected line is the hash of the lines from it on that hold MIN_WORDS
+Wilkerson and Aiken 2003), and each line of LONG words; the fingerprint of a selected line is the hash of the lines from it on that hold MIN_WORDS
 words, so each fingerprint that recurs is a repeated run by itself, and whatever holds MIN_WORDS words after a window
 of lines shares one. Fingerprints are joined with the first place where they occur, by (doc_id, row, line), and never
 with each other; the runs of each pair of rows at each distance are extended both ways by comparing line hashes, and
@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from .common import stage
 
 #: Zero-width cuts, so that the lines joined are the text; none within white space, so that each line has a word.
-CUT = r"(?<=\n)(?=\S)|(?<=[.!?,;:|d][ \t])(?=\S)"
-#: Lines of which one is selected.
-WINDOW = 4
-#: White space, as Unicode has it, and what tells that a line's blanks are not its words.
-SPACE = r"\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-UNEVEN, DOUBLE = rf"[{SPACE}&&[^ \n]]|\A[ \n]", ("  ", "\n\n", " \n", "\n ")
+CUT = r"(?<=[\n \t])(?=\S)(?<=\n|[.!?,;:|d][ \t])"
+#: Lines of which one is selected, and words with which a line is selected anyway: where lines are long, a window is too.
+WINDOW, LONG = 4, 10
+#: White space as Unicode has it, beside the blank and the line feed, and what tells that a line's blanks are not its
+#: words: substrings, since a class of so many ranges is slow where each character of each text is looked up in it.
+OTHER = [chr(c) for c in (0x9, 0xB, 0xC, 0xD, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+DOUBLE = ["  ", "\n\n", " \n", "\n "]
+WORD = rf"[^ \n{''.join(f'\\x{{{ord(c):X}}}' for c in OTHER)}]+"
 #: Words of whole lines in a run that is deleted: a passage of 50 words, less a part of a line and a window.
 MIN_WORDS = 20
 #: Lines of a run and its words in one number: words << LINES | lines.
@@ -34,26 +36,33 @@ def _lines(text: Column) -> Column:
 
 
 def _uneven(text: Column) -> Column:
-    found = text.rlike(UNEVEN)
-    for part in DOUBLE:
+    found = text.startswith(" ") | text.startswith("\n")
+    for part in [*OTHER, *DOUBLE]:
         found = found | text.contains(part)
     return found
 
 
 def _spots(h: Column, w: Column, least: int) -> Column:
     """array of (fp, at, k): the selected lines from which on k lines have the words."""
-    minima = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - WINDOW, F.lit(0))), lambda j: F.array_min(F.slice(h, j + 1, F.lit(WINDOW))))
-
-    def spot(m: Column) -> Column:
-        words = lambda i: F.aggregate(  # noqa: E731  a line has a word at least, so `least` lines are enough
-            F.slice(w, i + 1, F.lit(least + 1)), F.lit(0).cast("long"), lambda a, x: F.when(a >= least << LINES, a).otherwise(a + F.shiftleft(x.cast("long"), LINES) + 1)
-        )
-        chosen = lambda x, i: F.array_contains(F.slice(m, F.greatest(i + 2 - WINDOW, F.lit(1)), F.lit(WINDOW)), x)
-        packed = F.filter(F.transform(h, lambda x, i: F.when(chosen(x, i), F.struct(i.alias("at"), words(i).alias("p")))), lambda s: s["p"] >= least << LINES)
-        k = lambda s: s["p"].bitwiseAND(F.lit((1 << LINES) - 1)).cast("int")
-        return F.transform(packed, lambda s: F.struct(F.xxhash64(F.slice(h, s["at"] + 1, k(s))).alias("fp"), s["at"].alias("at"), k(s).alias("k")))
-
-    return F.element_at(F.transform(F.array(minima), spot), 1)  # the minima are computed once
+    # The lowest bits give way to the place in the window, so that the least says where it stands, the left one of equals.
+    bits = (WINDOW - 1).bit_length()
+    marked = lambda j, k: F.get(h, j + k).bitwiseAND(F.lit(-1 << bits)).bitwiseOR(F.lit(k))  # noqa: E731  null outside
+    long = F.filter(F.transform(w, lambda x, i: F.when(x >= LONG, i)), lambda i: i.isNotNull())
+    windows = F.sequence(F.lit(0), F.greatest(F.size(h) - WINDOW, F.lit(0)))
+    least_of = F.transform(windows, lambda j: j + F.least(*[marked(j, k) for k in range(WINDOW)]).bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))
+    selected = F.array_distinct(F.concat(least_of, long))
+    enough, some = least << LINES, 8
+
+    def packed(i: Column) -> Column:
+        """Words and lines from line i on until there are enough. A line has a word at least, so `least` lines do."""
+        add = lambda a, x: F.when(a >= enough, a).otherwise(a + F.shiftleft(x.cast("long"), LINES) + 1)
+        few = F.aggregate(F.slice(w, i + 1, F.lit(some)), F.lit(0).cast("long"), add)
+        more = lambda a: F.aggregate(F.slice(w, i + 1 + some, F.lit(least + 1)), a, add)
+        return F.element_at(F.transform(F.array(few), lambda a: F.when(a >= enough, a).otherwise(more(a))), 1)
+
+    starts = F.filter(F.transform(selected, lambda i: F.struct(i.alias("at"), packed(i).alias("p"))), lambda s: s["p"] >= enough)
+    k = lambda s: s["p"].bitwiseAND(F.lit((1 << LINES) - 1)).cast("int")
+    return F.transform(starts, lambda s: F.struct(F.xxhash64(F.slice(h, s["at"] + 1, k(s))).alias("fp"), s["at"].alias("at"), k(s).alias("k")))
 
 
 def lines_of(docs: DataFrame, least: int = MIN_WORDS, with_text: bool = False) -> DataFrame:
@@ -63,10 +72,11 @@ def lines_of(docs: DataFrame, least: int = MIN_WORDS, with_text: bool = False) -
     closed = F.when((text == "") | text.endswith(" ") | text.endswith("\n"), text).otherwise(F.concat(text, F.lit(" ")))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", _uneven(text).alias("uneven"), _lines(closed).alias("lines"))
     # Words are runs of what is not white space; texts with single blanks only need no regex for each line.
-    spaced = F.transform("lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + x.endswith("\n").cast("int"))
-    counted = F.transform("lines", lambda x: F.regexp_count(x, F.lit(f"[^{SPACE}]+")))
+    spaced = F.transform("lines", lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + x.endswith("\n").cast("int"))
+    counted = F.transform("lines", lambda x: F.regexp_count(x, F.lit(WORD)))
     rows = rows.select("row", "doc_id", "text", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.when(F.col("uneven"), counted).otherwise(spaced).alias("w"))
-    return stage(rows.withColumn("spots", _spots(F.col("h"), F.col("w"), least)).select("row", "doc_id", "h", "w", "spots", *(["text"] if with_text else [])), "lines")
+    plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("h.list.element", "spots.list.element.fp")}  # hashes hardly repeat
+    return stage(rows.withColumn("spots", _spots(F.col("h"), F.col("w"), least)).select("row", "doc_id", "h", "w", "spots", *(["text"] if with_text else [])), "lines", plain)
 
 
 def _merged(spans: DataFrame, keys: list[str]) -> DataFrame:

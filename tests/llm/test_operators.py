@@ -524,7 +524,7 @@ def test_line_dedup_against_brute_force(spark):
 def test_line_dedup_counts_words_between_any_white_space(spark):
     cells = [f"c{i}" for i in range(200)]
     passages = ["\t".join(cells[:60]), "".join("\t".join(cells[i : i + 10]) + "\n" for i in range(0, 200, 10)), "\u00a0".join(cells[100:140]), "\u2003".join(cells[60:100]), "  ".join(cells[:16]), " ".join(cells[40:75])]
-    rows = [(2 * k + j, f"own {k} {j}\n{p.strip()}\nend {k} {j}") for k, p in enumerate(passages) for j in (0, 1)]
+    rows = [(2 * k + j, f"own {k} {j}\n{p.strip()}\n{k}{j} at end") for k, p in enumerate(passages) for j in (0, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for k, p in enumerate(passages):  # each pair by itself: passages share cells, not lines
         first, second = line_dedup.repeated_runs(docs.filter(F.col("doc_id").isin(2 * k, 2 * k + 1))).orderBy("doc_id").collect()
