@@ -144,18 +144,28 @@ def fedavg(data: DataFrame, keys: tuple[str, ...] = (), rounds: int = v.ROUNDS,
     now = dict(start) if start else {k: np.zeros(d) for k in _keys_of(data, keys)}
     if l2 is None:
         n = {tuple(r[k] for k in keys): r["n"] for r in data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
-        l2 = 1.0 / (c * max(1.0, float(np.mean(list(n.values()) or [1]))))
+        own, l2 = {k: 1.0 / (c * max(1, n.get(k, 1))) for k in now}, 0.0
+    else:
+        own = {}
+    free = np.append(np.ones(max(d - 1, 0)), np.zeros(min(d, 1)))  # the intercept has no penalty
+
+    def shrunk(k: tuple, w: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """A step of the key's own penalty, from the weights that the step began with."""
+        return w - rate * own.get(k, 0.0) * free * before
+
     for r in range(rounds):
         if local_updates == 1:
             updates = site_updates(data, keys, now, clip, rate, l2, noise, seed, r)
             sums: dict[tuple, list] = {}
             for row in updates.collect():  # a row per key and site
-                sums.setdefault(tuple(row[k] for k in keys), []).append((row["n"], np.array(row["w"])))
+                k = tuple(row[k] for k in keys)
+                sums.setdefault(k, []).append((row["n"], shrunk(k, np.array(row["w"]), now[k])))
         else:
             per_site = {(*k, s): w for k, w in now.items() for s in _sites(data)}
             for u in range(local_updates):
                 got = site_updates(data.withColumn("_site", F.col("site")), [*keys, "_site"], per_site, clip, rate, l2, noise, seed, r * local_updates + u).collect()
-                per_site = {tuple(row[k] for k in [*keys, "_site"]): np.array(row["w"]) for row in got}
+                fresh = {tuple(row[k] for k in [*keys, "_site"]): np.array(row["w"]) for row in got}
+                per_site = {k: shrunk(k[:-1], w, per_site[k]) for k, w in fresh.items()}
                 size = {tuple(row[k] for k in [*keys, "_site"]): row["n"] for row in got}
             sums = {}
             for k, w in per_site.items():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,6 +208,19 @@ def fedavg_round1(spark: SparkSession, sf: str) -> DataFrame:
     return _weights_frame(spark, models.fedavg(_data(spark, sf), rounds=1, l2=0.0))
 
 
+@query(
+    f"WITH {FEATURES_SQL}, p AS (SELECT *, 1 / (1 + exp(-0.1 * (" + " + ".join(features.FEATURES) + " + 1.0))) - y AS e FROM f), "
+    "g AS (SELECT site, count(*) AS n, " + ", ".join(f"avg(e * {n}) AS {n}" for n in features.FEATURES) + ", avg(e) AS intercept FROM p GROUP BY site), "
+    "u AS (UNPIVOT g ON COLUMNS(* EXCLUDE (site, n)) INTO NAME feature VALUE grad) "
+    "SELECT site AS key, feature, round(0.1 - 4.0 * (grad + CASE WHEN feature = 'intercept' THEN 0.0 ELSE 0.1 / (10.0 * n) END), 6) AS weight FROM u"
+)
+def fedavg_penalty_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """One round from equal weights for keys of unequal size: each has the penalty of its own number of rows."""
+    data = _data(spark, sf).withColumn("k", F.col("site"))
+    start = {k: np.full(len(features.FEATURES) + 1, 0.1) for k in models._keys_of(data, ["k"])}
+    return _weights_frame(spark, models.fedavg(data, ("k",), rounds=1, start=start))
+
+
 @query(f"WITH {FEATURES_SQL}, r AS (SELECT site, y, " + ", ".join(f"(0.5 - y) * {n} AS {n}" for n in features.FEATURES) + ", 0.5 - y AS intercept, sqrt(" + " + ".join(f"power((0.5 - y) * {n}, 2)" for n in features.FEATURES) + " + power(0.5 - y, 2)) AS len FROM f), g AS (SELECT site, " + ", ".join(f"sum({n} * least(1.0, 0.5 / greatest(len, 1e-12))) AS {n}" for n in (*features.FEATURES, "intercept")) + " FROM r GROUP BY site), u AS (UNPIVOT g ON COLUMNS(* EXCLUDE (site)) INTO NAME feature VALUE total) SELECT site, feature, round(total, 6) AS clipped_sum FROM u")
 def clipped_gradient_sums(spark: SparkSession, sf: str) -> DataFrame:
     """What a site adds up before noise in the first private round."""
