@@ -148,6 +148,36 @@ class Encoder:
         self.reset()
         return tokens
 
+    def whole(self, data: bytes) -> list[int]:
+        """feed and finish for a piece that fits the window, where nothing is emitted before its end: the same rule,
+        worked out only for the places that the chain from the end asks about."""
+        m = self.merges
+        step, ends_at, known, length = m.back.get, m.ends_at, m._beside, m.bytes_of
+        last: dict[int, int] = {}
+
+        def ending_at(n: int) -> int:
+            node, k, ending = 0, n - 1, []
+            while k >= 0 and (node := step(node << 8 | data[k], 0)):
+                if (token := ends_at[node]) >= 0:
+                    ending.append((k, token))
+                k -= 1
+            while ending:
+                k, token = ending.pop()
+                if k:
+                    left = last[k] if k in last else ending_at(k)
+                    fits = known.get(left << 32 | token)
+                    if not (m.beside(left, token) if fits is None else fits):
+                        continue
+                last[n] = token
+                return token
+            raise ValueError("no token ends here: the vocabulary lacks a byte")
+
+        n, out = len(data), []
+        while n:
+            out.append(last[n] if n in last else ending_at(n))
+            n -= len(length[out[-1]])
+        return out[::-1]
+
 
 class ByteToText:
     """UTF-8 decoder fed piecewise. State: the at most three bytes of a character not yet complete."""
@@ -189,7 +219,9 @@ class _Memo(dict):
         encoder = self.encoder
         packed = self.older.get(piece)
         if packed is None:
-            packed = b"".join(i.to_bytes(4, "little") for i in encoder.feed(piece.encode("utf-8", "replace")) + encoder.finish())
+            data = piece.encode("utf-8", "replace")
+            ids = encoder.whole(data) if len(data) <= 64 else encoder.feed(data) + encoder.finish()
+            packed = b"".join(i.to_bytes(4, "little") for i in ids)
         if len(piece) <= 64:
             if len(self) >= MEMO:
                 self.older = dict(self)

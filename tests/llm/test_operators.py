@@ -432,6 +432,18 @@ def test_words_that_tie_have_classes_too(spark):
     assert np.allclose([r[5:] for r in x], [r[5:] for r in y]) and [r[:5] for r in x] == [r[:5] for r in y]
 
 
+def test_bpe_whole_pieces_equal_the_stream():
+    import random
+
+    import public_tokenizers
+
+    e, pick = bpe.Encoder(bpe.tokenizer(public_tokenizers.path("byte_bpe_50k.json")).merges), random.Random(3)
+    pieces = ["", "a", "Ġ", "ﬁ", "🙂🙂", "\x00\ufffd"] + ["".join(pick.choices("aeinorst lLdG-ß漢", k=pick.randrange(1, 40))) for _ in range(3000)]
+    for piece in pieces:
+        data = piece.encode()
+        assert e.whole(data) == e.feed(data) + e.finish(), piece
+
+
 def test_bpe_refuses_files_it_does_not_understand(tmp_path):
     import json
 
