@@ -54,6 +54,9 @@ def report(cases, limit: int, context: int, summary_only: bool) -> None:
     """Counts by kind, then rows, of span, list, number and category problems."""
     rows = extract.with_record(deid.with_pii(cases.withColumnsRenamed({"pii_entities": "true_spans", "extracted_clinical_data": "truth", "deidentified_text": "_"}).drop("_")), out="prediction")
     counts = metrics.span_counts(rows.withColumnRenamed("pii_entities", "pred_spans")).cache()
+    spans, fields = metrics.deid_scores(counts).first(), metrics.extraction_scores(counts).first()
+    print(f"de-identification score {spans['score']:.4f} (characters {spans['char_f1']:.4f}, entities {spans['entity_f1']:.4f})")
+    print(f"structured extraction score {fields['score']:.4f} (diagnoses {fields['diagnoses_f1']:.4f}, medications {fields['medications_f1']:.4f})")
     parts = {"spans": (errors.span_problems(counts, context=context), ("kind", "label")), "numbers": (errors.numeric_problems(counts), ("field", "kind")), "categories": (errors.category_problems(counts), ("field",))}
     parts |= {f: (errors.list_problems(counts, f), ("kind", "value")) for f in ("diagnoses", "medications")}
     for name, (problems, keys) in parts.items():

@@ -121,6 +121,11 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.;:])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def paragraphs(text: Column) -> Column:
+    """Trimmed, non-empty parts that end with . or a line; lists with ; or : stay in one piece."""
+    return F.filter(F.transform(F.split(text, r"(?<=\.)\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
+
+
 def flattened(text: Column, limit: int = 220) -> Column:
     """One line of at most `limit` characters, line feeds shown as \\n."""
     one = F.replace(text, F.lit("\n"), F.lit("\\n"))

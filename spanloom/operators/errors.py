@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.text import overlaps, piece, rx, sentences, snippet
+from ..functions.text import flattened, overlaps, paragraphs, piece, rx, sentences, snippet
 from .metrics import normal_list, normal_token, numeric, tolerance_score
 
 
@@ -30,13 +30,24 @@ def span_problems(counts: DataFrame, text: str = "note_text", context: int = 30)
     return counts.select("case_id", F.explode(F.concat(missed, spurious)).alias("x")).select("case_id", "x.*")
 
 
-def evidence(text: Column, canonical: Column, limit: int = 2) -> Column:
-    """Up to `limit` sentences with the most words of the name, at least two of them if it has two."""
-    words = F.split(canonical, "_")
+def evidence(text: Column, canonical: Column, limit: int = 2, field: str | None = None) -> Column:
+    """Up to `limit` sentences with the most words of the name, at least two of them if it has two long ones.
+
+    Without any, and with a field, the lines that open as a section of that field do: an abbreviation or a brand
+    shares no word with the canonical name.
+    """
+    parts = F.split(canonical, "_")
+    long = F.filter(parts, lambda w: F.length(w) > 3)
+    words = F.when(F.size(long) > 0, long).otherwise(parts)
     need = F.least(F.lit(2), F.size(words))
-    hits = lambda s: F.size(F.filter(words, lambda w: F.lower(s).contains(w)))
+    hits = lambda s: F.size(F.filter(words, lambda w: F.regexp_like(F.lower(s), F.concat(F.lit(r"\b"), w))))
     found = F.filter(F.transform(sentences(text), lambda s, i: F.struct((-hits(s)).alias("rank"), i.alias("i"), s.alias("s"))), lambda x: -x["rank"] >= need)
-    return F.transform(F.slice(F.array_sort(found), 1, limit), lambda x: x["s"])
+    best = F.transform(F.slice(F.array_sort(found), 1, limit), lambda x: flattened(x["s"]))
+    if field is None:
+        return best
+    opens = rx(rf"\A(?s:.{{0,{v.SECTION_WITHIN - 1}}}?)\b(?:" + "|".join(v.SECTION_WORDS[field]) + ")", True)
+    sections = F.transform(F.filter(paragraphs(text), lambda s: s.rlike(opens)), lambda s: F.concat(F.lit("(section) "), flattened(s)))
+    return F.when(F.size(best) > 0, best).otherwise(F.slice(sections, 1, limit))
 
 
 def cue_sentences(text: Column, pattern: str, limit: int = 2) -> Column:
@@ -48,7 +59,7 @@ def list_problems(cases: DataFrame, field: str, text: str = "note_text", true: s
     t, p = normal_list(F.col(f"{true}.{field}")), normal_list(F.col(f"{pred}.{field}"))
     tag = lambda values, kind: F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
     rows = cases.select("case_id", F.col(text).alias("_text"), F.explode(F.concat(tag(F.array_except(t, p), "missing"), tag(F.array_except(p, t), "extra"))).alias("x"))
-    return rows.select("case_id", "x.*", evidence(F.col("_text"), F.col("x.value")).alias("evidence"))
+    return rows.select("case_id", "x.*", evidence(F.col("_text"), F.col("x.value"), field=field if field in v.SECTION_WORDS else None).alias("evidence"))
 
 
 def numeric_problems(cases: DataFrame, true: str = "truth", pred: str = "prediction") -> DataFrame:

@@ -48,6 +48,28 @@ def valid_spans(spans: Column, text: Column) -> Column:
     return F.aggregate(sorted_, F.array().cast(plain), lambda acc, s: F.when((F.size(acc) == 0) | (s["start"] >= F.element_at(acc, -1)["end"]), F.array_append(acc, s)).otherwise(acc))
 
 
+def span_messages(spans: Column, text: Column) -> Column:
+    """What valid_spans leaves out, one message for each such span; none for a missing list."""
+    plain = "array<struct<start:int,end:int,label:string>>"
+    given = F.coalesce(spans, F.array()).cast(plain)
+    outside = lambda s: (s["start"] < 0) | (s["end"] <= s["start"]) | (s["end"] > F.length(text))
+
+    def fault(s: Column, i: Column) -> Column:
+        what = F.when(s.isNull(), "is no span").when(s["start"].isNull() | s["end"].isNull(), "lacks whole-number offsets").when(outside(s), "lies outside the note")
+        what = what.when(~F.coalesce(s["label"].isin(*v.LABELS), F.lit(False)), F.concat(F.lit("has an unknown label "), F.coalesce(s["label"], F.lit("null"))))
+        return F.when(what.isNotNull(), F.concat(F.lit("span "), i.cast("string"), F.lit(" "), what))
+
+    faults = F.filter(F.transform(given, fault), lambda m: m.isNotNull())
+    crossed = F.size(given) - F.size(faults) - F.size(valid_spans(spans, text))
+    return F.concat(faults, F.array_repeat(F.lit("a span overlaps an earlier one and is left out"), crossed))
+
+
+def probability_message(p: Column) -> Column:
+    """Null for a usable probability."""
+    n = numeric(p)
+    return F.when(~F.coalesce((n >= 0) & (n <= 1), F.lit(False)), "no probability in 0 .. 1; 0.5 counts")
+
+
 def _length(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
@@ -184,7 +206,8 @@ def prediction_scores(rows: DataFrame, site: str = "site") -> DataFrame:
     return ranking_metrics(rows).withColumn("score", score).join(F.broadcast(worst))
 
 
-def overall_score(deid: Column, extraction: Column, prediction: Column) -> dict[str, Column]:
+def overall_score(deid, extraction, prediction) -> dict:
+    """Of three columns or of three numbers."""
     return {"overall": 0.375 * deid + 0.375 * extraction + 0.25 * prediction, "points": 15 * deid + 15 * extraction + 10 * prediction}
 
 

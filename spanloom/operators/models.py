@@ -9,6 +9,7 @@ in number, so they travel in the plan as a broadcast table of one row per key.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,9 +69,14 @@ def newton_fit(data: DataFrame, keys: tuple[str, ...] = (), c: float = v.C, step
 
     With keys ("site",) these are the local models, without any the centralised one.
     """
-    keys, d = list(keys), _width(data)
-    now = {k: np.zeros(d) for k in _keys_of(data, keys)}
     data = data.withColumn("_v", F.col(weight).cast("double") if weight else F.lit(1.0))
+    with _held(data, [*dict.fromkeys([*keys, "x", "y", "_v"])]) as held:
+        return _newton(held, list(keys), c, steps, tolerance)
+
+
+def _newton(data: DataFrame, keys: list[str], c: float, steps: int, tolerance: float) -> dict[tuple, np.ndarray]:
+    d = _width(data)
+    now = {k: np.zeros(d) for k in _keys_of(data, keys)}
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     penalty = np.append(np.ones(d - 1), 0.0)
     open_ = set(now)
@@ -140,7 +146,12 @@ def fedavg(data: DataFrame, keys: tuple[str, ...] = (), rounds: int = v.ROUNDS,
     l2 defaults to 1 / (c * rows of the key), the penalty of the centralised fit. on_round(round, weights) is
     called after every round. With clip and noise it is the private variant.
     """
-    keys, d = list(keys), _width(data)
+    with _held(data, [*dict.fromkeys([*keys, "site", "x", "y"])]) as held:
+        return _rounds(held, list(keys), rounds, local_updates, rate, c, clip, noise, l2, seed, start, on_round)
+
+
+def _rounds(data: DataFrame, keys: list[str], rounds, local_updates, rate, c, clip, noise, l2, seed, start, on_round) -> dict[tuple, np.ndarray]:
+    d = _width(data)
     now = dict(start) if start else {k: np.zeros(d) for k in _keys_of(data, keys)}
     if l2 is None:
         n = {tuple(r[k] for k in keys): r["n"] for r in data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -191,6 +202,24 @@ def scored(data: DataFrame, weights: dict[tuple, np.ndarray], keys: tuple[str, .
     return _with_weights(data, list(keys), weights).withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))).drop("w")
 
 
+def transfer_table(results: DataFrame, value: str = "roc_auc") -> DataFrame:
+    """A row for every model and a column for every site that it was scored on; the sites are few."""
+    return results.groupBy("model").pivot("site").agg(F.first(value)).orderBy("model")
+
+
+@contextmanager
+def _held(data: DataFrame, columns: list[str]):
+    """The columns that a fit reads in every step, kept between its jobs; lost parts are computed again."""
+    if data.is_cached:
+        yield data
+        return
+    kept = data.select(*columns).persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def cross_site(data: DataFrame, local: dict[tuple, np.ndarray]) -> DataFrame:
     """Every site's model on every site's rows: `data` with model and p."""
     models = _weights_table(data.select(F.col("site").alias("model")), ["model"], local)

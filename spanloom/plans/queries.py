@@ -33,8 +33,8 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-def _record(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.with_record(nt.notes(spark, sf)).withColumn("r", F.col("extracted_clinical_data"))
+def _record(spark: SparkSession, sf: str, fields: tuple[str, ...] = extract.FIELDS) -> DataFrame:
+    return extract.with_record(nt.notes(spark, sf), fields=fields).withColumn("r", F.col("extracted_clinical_data"))
 
 
 def _r6(c: Column) -> Column:
@@ -121,18 +121,80 @@ def resolve_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", F.size("s").cast("long").alias("n"), total(lambda x: x["end"] - x["start"]).alias("chars"), total(lambda x: x["priority"]).alias("priorities"))
 
 
-@query()
+@query(WITH + """SELECT label, count(*) AS n FROM (SELECT unnest(['DATE_OF_BIRTH', 'ENCOUNTER_DATE', 'PHONE_NUMBER']) AS label FROM truth UNION ALL SELECT 'EMAIL' FROM truth WHERE k % 3 = 0) GROUP BY label""")
 def simple_pii_counts(spark: SparkSession, sf: str) -> DataFrame:
     spans = nt.notes(spark, sf).select(F.explode(deid.simple_pii(F.col("note_text"))).alias("s"))
     return spans.groupBy("s.label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _orders(spark: SparkSession, sf: str) -> tuple[DataFrame, Column]:
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey"), F.col("o_orderkey")
+
+
+def _found(rows: DataFrame, note: Column, layer: Callable[[Column], Column], label: str) -> DataFrame:
+    """case_id and the texts that a layer finds under a label, joined by |."""
+    t = F.col("note_text")
+    rows = rows.select(F.col("o_orderkey").alias("case_id"), note.alias("note_text")).withColumn("s", F.filter(layer(t), lambda s: s["label"] == label))
+    return rows.select("case_id", F.array_join(F.transform("s", lambda s: tx.piece(t, s["start"], s["end"])), "|").alias("found"))
+
+
+def _name(k: Column) -> Column:
+    return F.concat_ws(" ", nt._pick(nt.FIRST, k % 8), nt._pick(nt.LAST, F.floor(k / 8) % 8))
+
+
+NAME_SQL = f"{nt._sql_list(nt.FIRST)}[o_orderkey % 8 + 1] || ' ' || {nt._sql_list(nt.LAST)}[(o_orderkey // 8) % 8 + 1]"
+
+
+@query("SELECT o_orderkey AS case_id, '0131 496 ' || (1000 + o_orderkey % 9000) AS found FROM orders")
+def phone_after_cue(spark: SparkSession, sf: str) -> DataFrame:
+    rows, k = _orders(spark, sf)
+    return _found(rows, F.concat(F.lit("Tel: 0131 496 "), (1000 + k % 9000).cast("string"), F.lit(". Room 12, 0131 496 0000 is not cued")), deid.phone_layer, "PHONE_NUMBER")
+
+
+@query("SELECT o_orderkey AS case_id, 'XY/24/' || (10000 + o_orderkey % 90000) AS found FROM orders")
+def identifier_by_shape(spark: SparkSession, sf: str) -> DataFrame:
+    """Three parts; with four digits or more in the second, the form of two parts matches first and ends there."""
+    rows, k = _orders(spark, sf)
+    return _found(rows, F.concat(F.lit("Sample XY/24/"), (10000 + k % 90000).cast("string"), F.lit(" was kept")), deid.identifier_layer, "PATIENT_ID")
+
+
+@query(f"SELECT o_orderkey AS case_id, {NAME_SQL} AS found FROM orders")
+def patient_by_anchor(spark: SparkSession, sf: str) -> DataFrame:
+    rows, k = _orders(spark, sf)
+    after = F.when(k % 3 == 0, ", born 01.02.1950").when(k % 3 == 1, " (DOB 01.02.1950)").otherwise(" / AB-1234")
+    return _found(rows, F.concat(F.lit("letter\n"), _name(k), after), deid.patient_layer, "PATIENT_NAME")
+
+
+@query(f"SELECT o_orderkey AS case_id, {NAME_SQL} AS found FROM orders")
+def patient_under_banner(spark: SparkSession, sf: str) -> DataFrame:
+    rows, k = _orders(spark, sf)
+    return _found(rows, F.concat(F.lit("WARD EXPORT LIST\n"), _name(k), F.lit(" then text")), deid.patient_layer, "PATIENT_NAME")
+
+
+@query("SELECT o_orderkey AS case_id, 'Lindenweg ' || (1 + o_orderkey % 200) || ', ' || (10000 + o_orderkey % 80000) || ' Berlin' AS found FROM orders")
+def address_by_shape(spark: SparkSession, sf: str) -> DataFrame:
+    rows, k = _orders(spark, sf)
+    return _found(rows, F.concat(F.lit("seen at Lindenweg "), (1 + k % 200).cast("string"), F.lit(", "), (10000 + k % 80000).cast("string"), F.lit(" Berlin by the ward")), deid.address_layer, "ADDRESS")
+
+
+@query(f"SELECT o_orderkey AS case_id, {nt._sql_list(nt.DOCTOR_FIRST)}[o_orderkey % 5 + 1] || ' ' || {nt._sql_list(nt.DOCTOR_LAST)}[(o_orderkey // 5) % 7 + 1] AS found FROM orders")
+def clinician_by_title(spark: SparkSession, sf: str) -> DataFrame:
+    rows, k = _orders(spark, sf)
+    doctor = F.concat_ws(" ", nt._pick(nt.DOCTOR_FIRST, k % 5), nt._pick(nt.DOCTOR_LAST, F.floor(k / 5) % 7))
+    return _found(rows, F.concat(F.lit("yesterday Dr. "), doctor, F.lit(" came")), lambda t: tx.labelled(deid.clinician_title_spans(t), "CLINICIAN_NAME", v.PRIORITY["clinician title"], "title"), "CLINICIAN_NAME")
+
+
+@query("SELECT doc_id, CASE WHEN length(x) > 220 THEN substr(x, 1, 217) || '...' ELSE x END AS shown FROM (SELECT doc_id, replace(text, chr(10), '\\n') AS x FROM documents)")
+def flattened_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select("doc_id", tx.flattened(F.col("text")).alias("shown"))
+
+
 # ------------------------------------------------------------------------------------------- extraction
 
 
 @query(WITH + "SELECT k AS case_id, coalesce(diagnosis, '') AS diagnoses, medication AS medications FROM truth")
 def lexicon_and_negation(spark: SparkSession, sf: str) -> DataFrame:
-    return _record(spark, sf).select("case_id", F.array_join("r.diagnoses", ",").alias("diagnoses"), F.array_join("r.medications", ",").alias("medications"))
+    return _record(spark, sf, ("diagnoses", "medications")).select("case_id", F.array_join("r.diagnoses", ",").alias("diagnoses"), F.array_join("r.medications", ",").alias("medications"))
 
 
 @query(WITH + "SELECT k AS case_id, hr::INTEGER AS heart_rate_bpm, sbp::INTEGER AS systolic_bp_mmhg, creatinine AS creatinine_mg_dl, hb AS hemoglobin_g_dl, lvef::INTEGER AS lvef_percent FROM truth")
@@ -142,16 +204,42 @@ def numbers_and_units(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(WITH + "SELECT k AS case_id, smoking AS smoking_status, allergy FROM truth")
 def smoking_and_allergy(spark: SparkSession, sf: str) -> DataFrame:
-    return _record(spark, sf).select("case_id", "r.smoking_status", "r.allergy")
+    return _record(spark, sf, ("smoking_status", "allergy")).select("case_id", "r.smoking_status", "r.allergy")
 
 
 @query(WITH + "SELECT coalesce(diagnosis, 'nothing') AS diagnosis, site, count(*) AS n, round(avg(hb), 6) AS mean_hb FROM truth GROUP BY 1, 2")
 def diagnoses_by_site(spark: SparkSession, sf: str) -> DataFrame:
-    r = _record(spark, sf).select("hospital_id", F.explode_outer("r.diagnoses").alias("d"), "r.hemoglobin_g_dl")
+    r = _record(spark, sf, ("diagnoses", "hemoglobin_g_dl")).select("hospital_id", F.explode_outer("r.diagnoses").alias("d"), "r.hemoglobin_g_dl")
     return r.groupBy(F.coalesce("d", F.lit("nothing")).alias("diagnosis"), F.col("hospital_id").alias("site")).agg(F.count(F.lit(1)).alias("n"), _r6(F.avg("hemoglobin_g_dl")).alias("mean_hb"))
 
 
-@query()
+SCOPED = (
+    ("Mother had hypertension. ", ""), ("hypertension ruled out. ", ""), ("hypertension, stable. ", "hypertension"), ("hypertension unlikely. ", ""),
+    ("Known hypertension. ", "hypertension"), ("Hypertension in his father. ", ""), ("hypertension, not copd. ", "hypertension"),
+)
+SCOPED_MEDICATIONS = (
+    ("Aspirin was discontinued.", ""), ("Aspirin 100 mg daily.", "aspirin"), ("Intolerant to aspirin.", ""), ("Aspirin, later warfarin.", "aspirin,warfarin"), ("Lasix not tolerated; warfarin.", "warfarin"),
+)
+
+
+@query(f"SELECT o_orderkey AS case_id, {nt._sql_list(tuple(x for _, x in SCOPED))}[o_orderkey % {len(SCOPED)} + 1] AS diagnoses, {nt._sql_list(tuple(x for _, x in SCOPED_MEDICATIONS))}[o_orderkey % {len(SCOPED_MEDICATIONS)} + 1] AS medications FROM orders")
+def family_and_post_cues(spark: SparkSession, sf: str) -> DataFrame:
+    rows, k = _orders(spark, sf)
+    note = F.concat(nt._pick(tuple(x for x, _ in SCOPED), k % len(SCOPED)), nt._pick(tuple(x for x, _ in SCOPED_MEDICATIONS), k % len(SCOPED_MEDICATIONS)))
+    found = extract.with_record(rows.select(k.alias("case_id"), note.alias("note_text")), out="r", fields=("diagnoses", "medications"))
+    return found.select("case_id", *[F.array_join(f"r.{f}", ",").alias(f) for f in ("diagnoses", "medications")])
+
+
+@query("SELECT o_orderkey AS case_id, 0::BIGINT AS n_listed, 7::BIGINT AS n_null FROM orders")
+def empty_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Null, empty and blank notes."""
+    rows, k = _orders(spark, sf)
+    found = extract.with_record(rows.select(k.alias("case_id"), F.when(k % 3 == 0, "").when(k % 3 == 1, " \n\t").alias("note_text")), out="r")
+    nulls = sum((F.col(f"r.{f}").isNull().cast("long") for f in extract.FIELDS[2:]), F.lit(0).cast("long"))
+    return found.select("case_id", (F.size("r.diagnoses") + F.size("r.medications")).cast("long").alias("n_listed"), nulls.alias("n_null"))
+
+
+@query("SELECT smoking_status, count(*) AS n, count(*) FILTER (o_orderkey % 11 <> 0) AS with_lvef FROM (SELECT *, CASE o_orderkey % 4 WHEN 0 THEN 'never' WHEN 1 THEN 'former' WHEN 2 THEN 'former' END AS smoking_status FROM orders) GROUP BY 1")
 def simple_record_counts(spark: SparkSession, sf: str) -> DataFrame:
     r = nt.notes(spark, sf).select(extract.simple_record(F.col("note_text")).alias("r"))
     return r.groupBy("r.smoking_status").agg(F.count(F.lit(1)).alias("n"), F.count("r.lvef_percent").alias("with_lvef"))
@@ -247,6 +335,32 @@ def local_fits(spark: SparkSession, sf: str) -> DataFrame:
     return _weights_frame(spark, models.newton_fit(_hard(spark, sf), ("site",)))
 
 
+def _slope(spark: SparkSession, sf: str, keys: tuple[str, ...]) -> DataFrame:
+    """Gradient of the penalised loss, a row, at the weights that the fit returns."""
+    data = _hard(spark, sf).withColumn("key", F.lit("all") if not keys else F.col(keys[0]))
+    weights = models.newton_fit(data, ("key",))
+    names = [*sorted(features.FEATURES), "intercept"]
+    rows = models.scored(data, weights, ("key",)).withColumn("e", F.col("p") - F.col("y"))
+    sums = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("e") * F.col("x")[i]).alias(n) for i, n in enumerate(names)])
+    w = spark.createDataFrame([(k[0], n, 0.0 if n == "intercept" else float(t)) for k, ws in weights.items() for n, t in zip(names, ws)], "key string, feature string, w double")
+    flat = sums.unpivot(["key", "n"], names, "feature", "g").join(F.broadcast(w), ["key", "feature"])  # a row per key and feature
+    return flat.select("key", "feature", (F.round(F.abs(v.C * F.col("g") + F.col("w")) / F.col("n"), 6)).alias("slope"))
+
+
+FEATURE_NAMES_SQL = f"(SELECT unnest({nt._sql_list((*sorted(features.FEATURES), 'intercept'))}) AS feature)"
+
+
+@query(f"SELECT 'all' AS key, feature, 0.0::DOUBLE AS slope FROM {FEATURE_NAMES_SQL}")
+def centralized_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """The fitted weights are the minimum: no feature has a slope left."""
+    return _slope(spark, sf, ())
+
+
+@query(f"SELECT key, feature, 0.0::DOUBLE AS slope FROM (SELECT DISTINCT o_orderpriority AS key FROM orders), {FEATURE_NAMES_SQL}")
+def local_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    return _slope(spark, sf, ("site",))
+
+
 @query()
 def private_fedavg(spark: SparkSession, sf: str) -> DataFrame:
     return _weights_frame(spark, models.fedavg(_hard(spark, sf), rounds=3, clip=v.CLIP, noise=v.SIGMA, l2=v.L2))
@@ -295,6 +409,27 @@ def ranking_by_site(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("site", "n", *[_r6(F.col(c)).alias(c) for c in ("prevalence", "roc_auc", "average_precision", "brier_score", "log_loss")])
 
 
+@query(f"SELECT round(a.score, 4) AS score, round(w.worst, 4) AS worst_site_roc_auc FROM (SELECT 0.55 * coalesce(roc_auc, 0.5) + 0.25 * average_precision + 0.2 * (1 - brier_score) AS score FROM ({RANKING_SQL}) WHERE site = 'all') a, (SELECT min(roc_auc) AS worst FROM ({RANKING_SQL}) WHERE site <> 'all') w")
+def prediction_composite(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.prediction_scores(_labelled(spark, sf)).select(*[F.round(c, 4).alias(c) for c in ("score", "worst_site_roc_auc")])
+
+
+@query("""WITH t AS (SELECT avg((o_orderkey % 4 <> 0)::INTEGER) AS dx, sum((o_orderkey % 5 <> 0)::INTEGER) AS tp, sum((o_orderkey % 5 = 0)::INTEGER) AS fn, avg((o_orderkey % 2 = 0)::INTEGER) AS smoking,
+  avg(CASE WHEN o_orderkey % 12 <= 3 THEN 1.0 ELSE greatest(0.0, 1.0 - (o_orderkey % 12 - 3) / 6.0::DOUBLE) END) AS hr FROM orders),
+s AS (SELECT dx, 2.0 * tp / (2 * tp + fn) AS rx, (hr + 4) / 5 AS numbers, (smoking + 1) / 2 AS categories FROM t)
+SELECT round(dx, 6) AS diagnoses_f1, round(rx, 6) AS medications_f1, round(numbers, 6) AS numeric_average, round(categories, 6) AS categorical_average,
+  round(0.22 * dx + 0.22 * rx + 0.40 * numbers + 0.16 * categories, 6) AS score FROM s""")
+def extraction_composite(spark: SparkSession, sf: str) -> DataFrame:
+    rows, k = _orders(spark, sf)
+    nothing = [F.lit(None).cast("double").alias(f) for f in v.TOLERANCE if f != "heart_rate_bpm"]
+    record = lambda dx, rx, hr, smoking: F.struct(F.array(dx).alias("diagnoses"), rx.alias("medications"), hr.cast("double").alias("heart_rate_bpm"), *nothing, smoking.alias("smoking_status"), F.lit(None).cast("string").alias("allergy"))
+    none, some = F.array().cast("array<string>"), F.array(F.lit("aspirin"))
+    true = record(F.lit("copd"), some, F.lit(80), F.lit("never"))
+    pred = record(F.when(k % 4 != 0, "COPD").otherwise("pneumonia"), F.when(k % 5 != 0, some).otherwise(none), 80 + k % 12, F.when(k % 2 == 0, "Never").otherwise("former"))
+    one = metrics.extraction_scores(rows.select(true.alias("truth"), pred.alias("prediction")))
+    return one.select(*[_r6(F.col(c)).alias(c) for c in ("diagnoses_f1", "medications_f1", "numeric_average", "categorical_average", "score")])
+
+
 SPANS_SQL = """
 s AS (SELECT doc_id, n_chars AS n, (doc_id * 13) % 40 AS a, 5 + doc_id % 7 AS len, doc_id % 8 AS lab FROM documents WHERE length(text) >= 60),
 q AS (SELECT doc_id, a AS ta, a + len AS tb, lab AS tl, a + doc_id % 3 AS pa, a + len + doc_id % 2 AS pb, CASE WHEN doc_id % 5 = 0 THEN (lab + 1) % 8 ELSE lab END AS pl FROM s),
@@ -393,6 +528,21 @@ def stratified_fold_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return per.groupBy("site", "y").agg(F.count(F.lit(1)).alias("folds"), F.sum("c").alias("n"), F.greatest(spread, F.lit(1)).cast("long").alias("spread_at_most"))
 
 
+@query("SELECT 5::BIGINT AS folds, count(*) AS n, 1::BIGINT AS spread_at_most FROM orders")
+def plain_fold_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    per = folds.plain_folds(_cases(spark, sf), 5).groupBy("fold").agg(F.count(F.lit(1)).alias("c"))
+    return per.agg(F.count(F.lit(1)).alias("folds"), F.sum("c").alias("n"), F.greatest(F.max("c") - F.min("c"), F.lit(1)).cast("long").alias("spread_at_most"))
+
+
+@query("""WITH g AS (SELECT s AS sigma, c AS clip, 0.75 - s / 100.0::DOUBLE - c / 1000.0::DOUBLE AS auc_mean, 0.02::DOUBLE AS auc_sd, CASE WHEN s > 0 THEN 10.0::DOUBLE / s ELSE 'infinity'::DOUBLE END AS epsilon
+  FROM (SELECT unnest([0, 1, 2, 4, 8]) AS s), (SELECT unnest([1, 2]) AS c))
+SELECT sigma::DOUBLE AS sigma, clip::DOUBLE AS clip, round(epsilon, 6) AS epsilon FROM g WHERE sigma > 0 AND auc_mean - auc_sd > 0.683 ORDER BY epsilon, auc_mean DESC LIMIT 1""")
+def reference_setting(spark: SparkSession, sf: str) -> DataFrame:
+    s, c = F.col("sigma"), F.col("clip")
+    g = folds.grid(spark, sigma=(0, 1, 2, 4, 8), clip=(1, 2)).withColumns({"auc_mean": 0.75 - s / 100 - c / 1000, "auc_sd": F.lit(0.02), "epsilon": F.when(s > 0, F.lit(10.0) / s).otherwise(float("inf"))})
+    return folds.reference_setting(g).select("sigma", "clip", _r6(F.col("epsilon")).alias("epsilon"))
+
+
 @query("SELECT o_orderpriority AS held_out_site, (SELECT count(*) FROM orders) - count(*) AS n_train FROM orders GROUP BY 1")
 def leave_one_site_out_counts(spark: SparkSession, sf: str) -> DataFrame:
     return folds.leave_one_site_out(_cases(spark, sf)).groupBy("held_out_site").agg(F.count(F.lit(1)).alias("n_train"))

@@ -82,8 +82,8 @@ def learning_rate(rows: DataFrame, rates: tuple = v.RATE_GRID, seeds: tuple[int,
 
 
 def privacy_sweep(rows: DataFrame, clips: tuple = v.CLIP_GRID, sigmas: tuple = v.SIGMA_GRID, steps: tuple = v.STEP_GRID, seeds: tuple[int, ...] = v.STUDY_SEEDS, k: int = 5) -> DataFrame:
-    """clip, sigma, rounds, epsilon and the mean and sd of AUC and log loss over repeats."""
-    folded = folds.stratified_folds(rows, k, seeds).cache()
+    """clip, sigma, rounds, epsilon and the mean and sd of AUC and log loss over repeats of plain folds."""
+    folded = folds.plain_folds(rows, k, seeds).cache()
     parts = []
     for clip in clips:
         for sigma in sigmas:

@@ -40,5 +40,6 @@ def test_command_line(spark, tmp_path, capsys):
     record = {"diagnoses": ["copd"], "medications": [], "smoking_status": None, "allergy": None}
     p.write_text(json.dumps({"case_id": "a", "hospital_id": "b", "note_text": "HTN", "labels": {"pii_entities": [], "deidentified_text": "HTN", "extracted_clinical_data": record, "readmission_30d": 0}}))
     assert main(["errors", "--train", str(p), "--summary-only"], spark) == 0
-    assert "copd" in capsys.readouterr().out
+    shown = capsys.readouterr().out
+    assert "copd" in shown and "de-identification score" in shown and "structured extraction score" in shown
     assert main(["errors", "--train", str(p), "--case", "zzz"], spark) == 2

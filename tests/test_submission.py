@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import errors, metrics
+from spanloom.operators import errors, extract, metrics
 from spanloom.plans import submission
 from spanloom.sources import jsonl
 from spanloom.streaming import structured
@@ -33,7 +33,14 @@ def test_run_and_evaluate(spark, tmp_path):
     assert got["X1"].deidentified_text.startswith("Patient: [PATIENT_NAME]") and got["X2"].pii_entities == [] and 0 <= got["X2"].readmission_probability <= 1
     raw = [json.loads(x) for p in (tmp_path / "out/predictions.jsonl").glob("part-*") for x in p.read_text().splitlines()]
     assert all("allergy" in r["extracted_clinical_data"] for r in raw)
-    assert out["experiment"]["communication"] == {"bytes_per_round": 320, "bytes_total": 16000}
+    assert {k: x for k, x in out["experiment"]["communication"].items() if k.startswith("bytes")} == {"bytes_per_round": 320, "bytes_total": 16000}
+    sites = {"BERLIN_NODE", "CHENNAI_NODE"}
+    for model in ("local", "federated", "centralized"):
+        m = out["experiment"]["metrics"][model]
+        assert {"auc", "brier"} <= set(m["overall"]) and set(m["by_site"]) == sites
+    assert set(out["experiment"]["local_models"]) == sites and out["experiment"]["convergence"]["train_log_loss_by_round"]
+    assert {"private_auc", "without_noise_auc"} <= set(out["privacy"]["utility_analysis"]) and out["privacy"]["parameters"]["epsilon"] > 0
+    assert {"mechanism", "adversary", "privacy_claim", "not_guaranteed", "runtime_analysis", "limitations"} <= set(out["privacy"])
 
 
 def test_perfect_predictions_score_one(spark, tmp_path):
@@ -50,6 +57,42 @@ def test_perfect_predictions_score_one(spark, tmp_path):
         submission.evaluated(inputs.union(inputs), answers, predictions)
 
 
+def test_broken_steps_fall_back(spark, tmp_path):
+    cases = spark.read.schema(jsonl.INPUT).json(lines(tmp_path / "i.jsonl", [case(1), case(2, note_text="")]))
+
+    def broken(df):
+        raise RuntimeError("boom")
+
+    def unsure(df):  # no spans for one of the notes
+        return df.withColumn("pii_entities", F.when(F.col("case_id") != "X1", F.array().cast(jsonl.SPANS)))
+
+    for detect in (broken, unsure, lambda df: df):
+        got = {r.case_id: r for r in submission.predicted(cases, None, 0.34, detect=detect, record=broken).collect()}
+        assert got["X1"].deidentified_text == "[PATIENT_NAME]" and len(got["X1"].pii_entities) == 1 and got["X2"].deidentified_text == "" and got["X2"].pii_entities == []
+        assert got["X1"].readmission_probability == 0.34 and got["X1"].extracted_clinical_data.diagnoses == [] and got["X1"].extracted_clinical_data.lvef_percent is None
+
+
+def test_messages_tell_what_is_left_out(spark):
+    spans = [(0, 3, "EMAIL"), (1, 4, "EMAIL"), (5, 99, "EMAIL"), (4, 6, "NOBODY"), (None, 2, "EMAIL"), None]
+    df = spark.createDataFrame([("abcdefghij", spans, 1.5), ("abc", None, 0.5)], f"t string, s {jsonl.SPANS}, p double")
+    a, b = df.select(metrics.span_messages(F.col("s"), F.col("t")).alias("m"), metrics.probability_message(F.col("p")).alias("p")).collect()
+    assert len(a.m) == 5 and sum("outside" in m for m in a.m) == 1 and "NOBODY" in " ".join(a.m) and "overlaps" in a.m[-1] and a.p
+    assert b.m == [] and b.p is None
+
+
+def test_evidence_falls_back_to_the_section(spark):
+    notes = [("Dx: pneumonia.\nRx: azithromycin.", "pneumonia"), ("Problem list: HTN; CKD.\nObs: HR 70 bpm.", "hypertension"), ("Known diagnoses: ischemic heart disease.", "chronic_kidney_disease"), ("A line that comes to its diagnoses only here.", "copd")]
+    df = spark.createDataFrame(notes, "t string, c string").select(errors.evidence(F.col("t"), F.col("c"), field="diagnoses").alias("e"))
+    assert [r.e for r in df.collect()] == [["pneumonia."], ["(section) Problem list: HTN; CKD."], ["(section) Known diagnoses: ischemic heart disease."], ["(section) A line that comes to its diagnoses only here."]]
+
+
+def test_fields_asked_for(spark):
+    df = spark.createDataFrame([("Known HTN. HR 80. Never smoked. NKDA.",)], "note_text string")
+    some = extract.with_record(df, out="r", fields=("allergy", "heart_rate_bpm"))
+    assert some.select("r.*").first().asDict() == {"allergy": "none", "heart_rate_bpm": 80} and "warfarin" not in some._jdf.queryExecution().toString()
+    assert extract.with_record(df, out="r").schema["r"].dataType.simpleString() == extract.RECORD
+
+
 def test_readers(spark, tmp_path):
     p = lines(tmp_path / "x.jsonl", [case(1), "not json", "", case(2)])
     good, bad = jsonl.read_tolerant(spark, p, jsonl.INPUT)
