@@ -1,13 +1,17 @@
 """Byte-pair encoding as a streaming transducer, and decoding as an incremental byte-to-text machine.
 
-Let e(x) be the merge list's encoding of x and last(n) the final token of e(x[:n]). Two facts make e
-streamable. Adjacent tokens s, t stand side by side in an encoding exactly when e(st) = [s, t], and for every
-prefix exactly one token t that ends at n is so compatible with last(n - |t|). So last(n) follows from the
-preceding L positions, where L, the longest token, is computed from the merge list: it is the lookahead beyond
-which no later byte can reach back in one step. And each future encoding continues a chain of tokens that ends
-in the last L positions; tokens on which all those L chains agree can never change, and are emitted. What is
-held is the window behind the oldest disagreement, bounded for a given merge list whatever the length of the
-text (its size times L bounds it, see Berglund and van der Merwe, "Formalizing BPE Tokenization", 2023).
+Let e(x) be the merge list's encoding of x and last(n) the final token of e(x[:n]). Adjacent tokens s, t stand side
+by side in an encoding exactly when e(st) = [s, t], and for every prefix exactly one token t that ends at n is so
+compatible with last(n - |t|); so last(n) follows from the positions that the longest token reaches.
+
+When a token is stable follows from the merge list alone (after Berglund and van der Merwe, "Formalizing BPE
+Tokenization", 2023). Compare x[:n] with any text that goes on from there, rule by rule in the order of ranks. Left of a
+frontier, at first n, both have the same tokens. A rule (u, v) moves it, by |u| and once only, if u ends there and v
+begins there in one of the texts; the token that begins at the new frontier is then u or grows from u to the right. So
+of two rules that move it one after another, the later has the earlier one's u at the left edge of its v. The heaviest
+such chain of rules is how far back bytes not yet seen can reach: the lookahead. Tokens that end so far before the
+last byte seen are emitted; what is held is the lookahead and eight
+of the longest tokens, whatever the length of the text.
 """
 
 from __future__ import annotations
@@ -33,14 +37,33 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
+    """So many bytes after the end of a token it is stable, in every text. Refuses lists that use a token before the last rule that makes it."""
+    ways: dict[bytes, list[bytes]] = {}  # token -> left parts of the rules that make it
+    weight: dict[bytes, int] = {}  # u -> the heaviest chain so far that ends with a rule (u, v)
+    used: set[bytes] = set()
+    for u, v in merges:
+        if any(len(t) > 1 and t not in ways for t in (u, v)) or u + v in used:
+            raise ValueError(f"merges out of order at {u!r}, {v!r}")
+        used |= {u, v}
+        edge, todo = set(), [v]
+        while todo:
+            if (t := todo.pop()) not in edge:
+                edge.add(t)
+                todo += ways.get(t, ())
+        weight[u] = max(weight.get(u, 0), len(u) + max((weight.get(t, 0) for t in edge), default=0))
+        ways.setdefault(u + v, []).append(u)
+    return max(weight.values(), default=0)
+
+
 class MergeList:
-    """A vocabulary with ranked merges, its longest token, and which tokens may stand side by side."""
+    """A vocabulary with ranked merges, its longest token, its lookahead, and which tokens may stand side by side."""
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.ids = vocab
         self.bytes_of = {i: b for b, i in vocab.items()}
         self.rank = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate(merges)}
-        self.lookahead = max(map(len, vocab))
+        self.lookahead, self.longest = sufficient_lookahead(merges), max(map(len, vocab))
         made = [bytes([b]) for b in range(256) if bytes([b]) in vocab] + [a + b for a, b in merges]
         #: Tokens that the merges do build from their bytes; any other entry of the vocabulary never occurs.
         self.made = {t: vocab[t] for t in made if self.merged(t) == [vocab[t]]}
@@ -97,9 +120,9 @@ class Encoder:
     def feed(self, data: bytes) -> list[int]:
         m, out = self.merges, []
         step, ends_at, known = m.back.get, m.ends_at, m._beside
-        for at in range(0, len(data), 4 * m.lookahead):
+        for at in range(0, len(data), 4 * m.longest):
             start = len(self.window)
-            window = self.window = self.window + data[at : at + 4 * m.lookahead]
+            window = self.window = self.window + data[at : at + 4 * m.longest]
             last, before = self.last, self.before
             for n in range(start, len(window)):
                 # Tokens that end with byte n, shortest first.
@@ -118,7 +141,7 @@ class Encoder:
                 else:
                     raise ValueError("no token ends here: the vocabulary lacks a byte")
                 last.append(token)
-            if len(window) > 4 * m.lookahead:
+            if len(window) > m.lookahead + 4 * m.longest:
                 out += self._stable()
         return out
 
@@ -128,13 +151,9 @@ class Encoder:
             n -= len(self.merges.bytes_of[self.last[n - 1]])
 
     def _stable(self) -> list[int]:
-        """Tokens before the last position that every open chain passes."""
+        """The tokens that end a lookahead or more before the last byte seen."""
         n = len(self.window)
-        passed = set(self._chain(n))
-        agreed = n
-        for tail in range(max(1, n - self.merges.lookahead + 1), n):
-            agreed = min(agreed, next((k for k in self._chain(tail) if k in passed), 0))
-        return self._emit(agreed)
+        return self._emit(next((k for k in self._chain(n) if k <= n - self.merges.lookahead), 0))
 
     def _emit(self, upto: int) -> list[int]:
         tokens = [self.last[n - 1] for n in self._chain(upto)][::-1]

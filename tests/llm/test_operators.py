@@ -186,10 +186,56 @@ def test_bpe_window_stays_bounded():
     e, out = bpe.Encoder(merges), []
     for _ in range(200):
         out += e.feed("".join(random.choices("abcdefghij", k=100)).encode())
-        assert len(e.window) <= 12 * merges.lookahead
+        assert len(e.window) <= merges.lookahead + 8 * merges.longest < 2000
     assert len(out) > 1000
 
 
+def test_bpe_lookahead_against_brute_force():
+    pick, reaches = random.Random(11), []
+    for letters in ("ab", "abc", "abcd") * 20:
+        merges, texts = [], [[bytes([c]) for c in pick.choices(letters.encode(), k=60)] for _ in range(3)]
+        while len(merges) < 25:  # pairs of a random corpus, in the order in which they are merged
+            pairs = sorted({p for t in texts for p in zip(t, t[1:])} - set(merges))
+            if not pairs:
+                break
+            merges.append(pick.choice(pairs))
+            for t in texts:
+                k = 0
+                while k < len(t) - 1:
+                    if (t[k], t[k + 1]) == merges[-1]:
+                        t[k : k + 2] = [t[k] + t[k + 1]]
+                    k += 1
+        made = [a + b for a, b in merges]
+        if any(a + b in {x for m in merges[:k] for x in m} for k, (a, b) in enumerate(merges)):
+            with pytest.raises(ValueError, match="out of order"):
+                bpe.sufficient_lookahead(merges)
+            continue
+        vocab = {t: i for i, t in enumerate(dict.fromkeys([*(bytes([c]) for c in letters.encode()), *made]))}
+        m, reach = bpe.MergeList(vocab, merges), 0
+        e = bpe.Encoder(m)
+        for _ in range(12):
+            text = "".join(pick.choices(letters, k=70)).encode()
+            whole, ends = m.merged(text), []
+            for t in whole:
+                ends.append((ends or [0])[-1] + len(m.bytes_of[t]))
+            for n in range(1, len(text)):
+                at, ids = 0, m.merged(text[:n])
+                for k, t in enumerate(ids):
+                    at += len(m.bytes_of[t])
+                    if at <= n - m.lookahead:
+                        assert ids[: k + 1] == whole[: k + 1], (merges, text, n)
+                    elif ids[: k + 1] != whole[: k + 1]:
+                        reach = max(reach, n - at + 1)
+            e.merges.longest = 1  # so that tokens are emitted as soon as they may be
+            assert [i for c in text for i in e.feed(bytes([c]))] + e.finish() == whole
+        assert reach <= m.lookahead
+        reaches.append((reach, m.lookahead))
+    assert len(reaches) > 10, reaches
+    assert bpe.sufficient_lookahead([(b"a", b"b")]) == 1 and bpe.sufficient_lookahead([(b"b", b"c"), (b"a", b"b")]) == 2
+    with pytest.raises(ValueError, match="out of order"):
+        bpe.sufficient_lookahead([(b"ab", b"c"), (b"a", b"b")])
+
+
 def test_lm_base_and_held_out(spark, docs):
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + ["\n"] for i, t in enumerate(TEXTS)}
     held = {i for i in words if zlib.crc32(str(i).encode()) % 7 == 2}
