@@ -1,9 +1,9 @@
 """Language-model scores: exact unigram counts, and a log-bilinear neural model trained with noise-contrastive estimation.
 
 The neural model predicts classes from the two preceding ones: the most frequent words each have one, the end of a
-text has one, and all other words share one. Within the shared class a word has its discounted relative frequency,
-and all words unseen in training together what the discount left (Good and Turing), so the probabilities of the
-words seen, the end, and "unseen" sum to one after every context.
+text has one, and all other words share an eighth as many by how they end. Within a shared class a word has its
+discounted relative frequency, and all its words unseen in training together what the discount left (Good and Turing),
+so the probabilities of the words seen, the end, and "unseen" of each shared class sum to one after every context.
 
 Counts are exact over all training texts, and the classes grow with the square root of the number of distinct words.
 Training is data-parallel: rows are dealt to shards by a hash of what they hold, so many as the number of tokens asks
@@ -16,13 +16,14 @@ distinct contexts of a batch.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby, repeat
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -31,6 +32,12 @@ from .common import stage
 CLASSES, WIDTH, CONTEXT, NOISE, BATCH, STEP = 512, 24, 2, 32, 8192, 0.05
 #: Distinct words up to which CLASSES classes are enough; with four times as many there are twice the classes.
 TYPES = 1 << 21
+#: Contexts of a matrix product when scoring.
+BLOCK = 1024
+#: Classes with a word of their own for each class that others share, and the bytes at a word's end that choose it.
+OWN, ENDING = 8, 2
+#: Words whose shared class a worker remembers.
+REMEMBERED = 200_000
 #: Training tokens of a shard, and models averaged in one place.
 SHARD, FAN_IN = 2_000_000, 32
 #: Most frequent words whose counts every worker holds; counts of all others are joined. A bound, not a cut: both ways give the same.
@@ -83,15 +90,35 @@ def word_counts(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     tokens: int  # N
     types: int  # V
-    head: dict[bytes, int]  # word -> class; the end is class 0, class 1 holds all others
+    head: dict[bytes, int]  # word -> class; the end is class 0, the shared ones follow
     counts: dict[bytes, int]  # of the words held
-    shared: int  # training tokens of class 1
-    unseen: float  # share of class 1 for words never seen
+    shared: list[int]  # training tokens of each shared class
+    unseen: list[float]  # share of each for words never seen
     least: int | None  # all words with this count or more are held
 
     @property
     def classes(self) -> int:
-        return len(self.head) + 1
+        return len(self.head) + len(self.shared)
+
+
+class Classes(dict):
+    """Word -> class: those of the head, and others as they are met."""
+
+    def __init__(self, v: Vocabulary):
+        super().__init__(v.head)
+        self.head, self.shared = v.head, len(v.shared)
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > len(self.head) + REMEMBERED:
+            self.clear()
+            self.update(self.head)
+        self[word] = k = 1 + zlib.crc32(word[-ENDING:]) % self.shared
+        return k
+
+
+def _shared_class(word: Column, shared: int) -> Column:
+    """The class that Classes gives a word outside the head, less one."""
+    return F.pmod(F.crc32(F.substring(F.encode(word, "utf-8"), -ENDING, ENDING)), F.lit(shared)).cast("int")
 
 
 def classes_for(types: int) -> int:
@@ -101,7 +128,12 @@ def classes_for(types: int) -> int:
 
 def vocabulary(counts: DataFrame, classes: int | None = None, held: int = HELD) -> Vocabulary:
     """`counts` as word_counts gives; at most `held` words, those of the classes and the end reach the driver."""
-    n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1)).first()
+    classes = classes or classes_for(counts.count())
+    sizes = [[0, 0, 0] for _ in range(1 + max(1, classes // OWN))]  # tokens, types, types met once: of the end, and by shared class
+    place = F.when(F.col("word") == END, 0).otherwise(1 + _shared_class(F.col("word"), len(sizes) - 1))
+    for r in counts.groupBy(place.alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect():
+        sizes[r["k"]] = [r["n"], r["v"], r["once"]]
+    n, v = (sum(x[i] for x in sizes) for i in range(2))
     level = F.floor(F.log2("c") * 16).cast("long")
     rows = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).orderBy(F.desc("level")).collect()
     total, least = 0, None  # the least count such that at most `held` words have it
@@ -112,13 +144,15 @@ def vocabulary(counts: DataFrame, classes: int | None = None, held: int = HELD)
         least = r["least"]
     top = [] if least is None else counts.filter(F.col("c") >= least).collect()
     known = {r["word"].encode(): r["c"] for r in top}
-    classes = classes or classes_for(v)
     most = counts.filter(F.col("word") != END).orderBy(F.desc("c"), "word").limit(classes - 2).collect()
     known |= {r["word"].encode(): r["c"] for r in most}  # words that tie at the edge of `held` too
     known |= {_END: r["c"] for r in counts.filter(F.col("word") == END).collect()}
-    head = {_END: 0} | {r["word"].encode(): k for k, r in enumerate(most, 2)}
-    shared = n - sum(known.get(w, 0) for w in head)
-    return Vocabulary(n, v, head, known, shared, (once + 1) / (shared + once + 2), least)
+    head = {_END: 0} | {r["word"].encode(): k for k, r in enumerate(most, len(sizes))}
+    for r in most:
+        of = sizes[1 + zlib.crc32(r["word"].encode()[-ENDING:]) % (len(sizes) - 1)]
+        of[0], of[2] = of[0] - r["c"], of[2] - (r["c"] == 1)
+    unseen = [(once + 1) / (c + once + 2) if c else 1.0 for c, _, once in sizes[1:]]
+    return Vocabulary(n, v, head, known, [c for c, *_ in sizes[1:]], unseen, least)
 
 
 class LogBilinear:
@@ -180,25 +214,25 @@ class LogBilinear:
         code = h[:, 0].astype(np.int64) * n + h[:, 1]
         distinct, inverse = np.unique(code, return_inverse=True)
         order = np.argsort(inverse, kind="stable")
-        bounds = np.searchsorted(inverse[order], np.arange(0, len(distinct) + 4096, 4096))
+        bounds = np.searchsorted(inverse[order], np.arange(0, len(distinct) + BLOCK, BLOCK))
         out = np.empty(len(w))
         for k in range(len(bounds) - 1):
-            some = distinct[k * 4096 : (k + 1) * 4096]
+            some = distinct[k * BLOCK : (k + 1) * BLOCK]
             if not len(some):
                 break
             scores = self.context(np.stack([some // n, some % n], 1)) @ self.params["Q"].T + self.params["b"]
             scores -= scores.max(1, keepdims=True)
             norm = np.log(np.exp(scores).sum(1))
             rows = order[bounds[k] : bounds[k + 1]]
-            local = inverse[rows] - k * 4096
+            local = inverse[rows] - k * BLOCK
             out[rows] = (scores[local, w[rows]] - norm[local]) / math.log(10)
         return out
 
 
-def _sequence(words: list[bytes], head: dict[bytes, int]) -> np.ndarray:
+def _sequence(words: list[bytes], classes: Classes) -> np.ndarray:
     """Class ids of a text and its end, after CONTEXT ends as the start."""
     ids = np.zeros(len(words) + CONTEXT + 1, np.int32)
-    ids[CONTEXT:-1] = np.fromiter(map(head.get, words, repeat(1)), np.int32, len(words))
+    ids[CONTEXT:-1] = np.fromiter(map(classes.__getitem__, words), np.int32, len(words))
     return ids
 
 
@@ -211,7 +245,7 @@ def _unigram(v: Vocabulary) -> np.ndarray:
     weights = np.ones(v.classes)
     for word, k in v.head.items():
         weights[k] += v.counts.get(word, 0)
-    weights[1] += v.shared
+    weights[1 : 1 + len(v.shared)] += v.shared
     return weights / weights.sum()
 
 
@@ -221,12 +255,13 @@ def train(docs: DataFrame, v: Vocabulary) -> LogBilinear:
 
     start = LogBilinear(_unigram(v))
     shards = max(1, -(-v.tokens // SHARD))
-    shipped = docs.sparkSession.sparkContext.broadcast((v.head, start.noise))
+    shipped = docs.sparkSession.sparkContext.broadcast((Vocabulary(v.tokens, v.types, v.head, {}, v.shared, v.unseen, v.least), start.noise))
     schema = pa.schema([("shard", pa.int64()), ("n", pa.float64()), ("sum", pa.binary())])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a shard stand together, in an order of their own."""
-        head, noise = shipped.value
+        vocab, noise = shipped.value
+        classes = Classes(vocab)
 
         def texts() -> Iterator[tuple[int, str | None]]:
             for batch in batches:
@@ -237,7 +272,7 @@ def train(docs: DataFrame, v: Vocabulary) -> LogBilinear:
             parts: list[np.ndarray] = []
             size = 0
             for _, text in rows:
-                parts.append(_sequence(_words(text), head))
+                parts.append(_sequence(_words(text), classes))
                 size += len(parts[-1])
                 if size > 64 * BATCH:
                     yield from mixed(parts)
@@ -288,7 +323,7 @@ def score_documents(docs: DataFrame, classes: int | None = None, held: int = HEL
 
     Learns from the rows not held out (crc32(doc_id as text) mod 7 is not 2; a null id counts as empty text). A
     null text counts as empty and has one token, its end. base_score is the add-one unigram log10 probability,
-    score the neural model's, in which an unseen word has the probability of "unseen" as a whole. Without
+    score the neural model's, in which an unseen word has the probability of "unseen" in its shared class. Without
     training rows base_score is 0 and score that of the untrained model. Repeated rows pass through; an empty table
     gives an empty result; other columns are ignored, whatever their names. `classes` is what classes_for says unless given.
     """
@@ -299,22 +334,22 @@ def score_documents(docs: DataFrame, classes: int | None = None, held: int = HEL
     model = train(docs, v)
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast((v, model.params, model.noise))
-    inner = 1 - v.unseen
-    tail = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int32())]))
+    #: What the count of a word is multiplied with for its probability within its shared class.
+    each = [(1 - u) / max(c, 1) for u, c in zip(v.unseen, v.shared)]
+    tail = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int32()), ("k", pa.int32())]))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("neural", pa.float64()), ("tail", tail)])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, params, noise = shipped.value
         lm = LogBilinear(noise)
-        lm.params = params
-        head, known = vocab.head, vocab.counts
-        shared = max(vocab.shared, 1)
+        lm.params = {k: p.astype(np.float64) for k, p in params.items()}  # sums that hardly depend on the batch
+        head, known, classes = vocab.head, vocab.counts, Classes(vocab)
         log = {c: math.log10(c + 1) for c in set(known.values())}
         # Terms of the words held, and of a missing one at the end, where index -1 finds it.
         index = {w: i for i, w in enumerate(known)}.get
         base_of = np.array([*(log[c] for c in known.values()), 0.0])
-        inside_of = np.array([*(0.0 if w in head else math.log10(c * inner / shared) for w, c in known.items()), 0.0])
-        class_of = np.array([*(head.get(w, 1) for w in known), 1], np.int32)
+        inside_of = np.array([*(0.0 if w in head else math.log10(c * each[classes[w] - 1]) for w, c in known.items()), 0.0])
+        class_of = np.array([*(classes[w] for w in known), 1], np.int32)
         end_base, end_known = log.get(known.get(_END, -1), 0.0), int(_END in known)
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
@@ -337,10 +372,12 @@ def score_documents(docs: DataFrame, classes: int | None = None, held: int = HEL
                 words = _words(cell.as_py())
                 at = np.fromiter(map(index, words, repeat(-1)), np.int64, len(words))
                 missing = np.flatnonzero(at < 0)
-                rare = [{"word": w.decode(), "tf": k} for w, k in Counter([words[i] for i in missing.tolist()]).items()]
+                others = [words[i] for i in missing.tolist()]
+                rare = [{"word": w.decode(), "tf": n, "k": classes[w] - 1} for w, n in Counter(others).items()]
                 base, inside, n_known = float(base_of[at].sum()) + end_base, float(inside_of[at].sum()), len(words) - len(missing) + end_known
                 ids = np.zeros(len(words) + CONTEXT + 1, np.int32)
                 ids[CONTEXT:-1] = class_of[at]
+                ids[CONTEXT + missing] = [classes[w] for w in others]
                 parts.append(ids)
                 for column, value in zip(rows, (doc_id, held_out, len(words) + 1, n_known, base, inside, rare)):
                     column.append(value)
@@ -351,18 +388,18 @@ def score_documents(docs: DataFrame, classes: int | None = None, held: int = HEL
             if parts:
                 yield flush()
 
-    ddl = "doc_id long, held_out boolean, n_tokens long, known long, base double, neural double, tail array<struct<word:string,tf:int>>"
+    ddl = "doc_id long, held_out boolean, n_tokens long, known long, base double, neural double, tail array<struct<word:string,tf:int,k:int>>"
     first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(HELD_OUT).alias("held_out"), "text")
     scored = stage(first.mapInArrow(work, ddl).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     least = 1 << 62 if v.least is None else v.least
     rest = counts.filter((F.col("c") < least) & (F.col("word") != END)).withColumnRenamed("word", "w")
-    rare = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.tf").alias("tf"))
+    rare = scored.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.tf").alias("tf"), F.col("t.k").alias("k"))
     found = rare.join(rest, F.col("word") == F.col("w"), "left")
-    tf, shared = F.col("tf"), float(max(v.shared, 1))
+    tf, of_class = F.col("tf"), lambda values: F.get(F.lit(values), F.col("k"))
     sums = found.groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), tf).otherwise(0)).alias("known_2"),
         F.sum(tf * F.coalesce(F.log10(F.col("c") + 1), F.lit(0.0))).alias("base_2"),
-        F.sum(tf * F.when(F.col("c").isNotNull(), F.log10(F.col("c") * inner / shared)).otherwise(math.log10(v.unseen))).alias("inside_2"),
+        F.sum(tf * F.when(F.col("c").isNotNull(), F.log10(F.col("c") * of_class(each))).otherwise(of_class([math.log10(u) for u in v.unseen]))).alias("inside_2"),
     )
     joined = scored.drop("tail").join(sums, "row", "left").fillna(0, ["known_2"]).fillna(0.0, ["base_2", "inside_2"])
     per_token = math.log10(v.tokens + v.types + 1)

@@ -247,6 +247,41 @@ def test_lm_base_and_held_out(spark, docs):
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) and r.score < 0
 
 
+def test_lm_score_against_brute_force(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(9000 + i, "é ß a bb ccc neverseen%d" % i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rng = np.random.default_rng(4)
+    params = {}
+
+    def drawn(docs, v):
+        lm = lm_scoring.LogBilinear(lm_scoring._unigram(v))
+        lm.params = {k: rng.standard_normal(x.shape).astype(np.float32) for k, x in lm.params.items()}
+        params.update(lm.params)
+        return lm
+
+    monkeypatch.setattr(lm_scoring, "train", drawn)
+    got = {r.doc_id: r.score for r in lm_scoring.score_documents(df, classes=24, held=30).collect()}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for i, t in rows}
+    c = collections.Counter(w for i, ws in words.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    own = sorted(c, key=lambda w: (-c[w], w.encode()))[:22]
+    of = lambda w: own.index(w) + 4 if w in own else 1 + zlib.crc32(w.encode()[-2:]) % 3
+    shared, once = collections.Counter(), collections.Counter()
+    for w in set(c) - set(own):
+        shared[of(w)] += c[w]
+        once[of(w)] += c[w] == 1
+    for i, ws in words.items():
+        ids, total = [0, 0, *map(of, ws), 0], 0.0
+        for at in range(2, len(ids)):
+            s = sum(params["R"][ids[at - 1 - j]] @ params["C"][j] for j in range(2)) @ params["Q"].T + params["b"]
+            total += (s[ids[at]] - s.max() - np.log(np.exp(s - s.max()).sum())) / math.log(10)
+        for w in ws:
+            if w not in own:
+                k = of(w)
+                unseen = (once[k] + 1) / (shared[k] + once[k] + 2) if shared[k] else 1.0
+                total += math.log10((1 - unseen) * c[w] / shared[k] if c[w] else unseen)
+        assert got[i] == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
 def test_lm_is_normalised_and_learns_context():
     rng = np.random.default_rng(0)
     w = np.zeros(40001, int)
