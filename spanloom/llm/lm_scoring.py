@@ -16,9 +16,10 @@ distinct contexts of a batch.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import groupby, repeat
 
@@ -36,8 +37,8 @@ TYPES = 1 << 21
 BLOCK = 1024
 #: Classes with a word of their own for each class that others share, and the bytes at a word's end that choose it.
 OWN, ENDING = 8, 2
-#: Words whose shared class a worker remembers.
-REMEMBERED = 200_000
+#: Pairs of classes up to which a worker holds the norm of each context; beyond, those of the contexts at hand are computed.
+NORMS = 1 << 23
 #: Training tokens of a shard, and models averaged in one place.
 SHARD, FAN_IN = 2_000_000, 32
 #: Most frequent words whose counts every worker holds; counts of all others are joined. A bound, not a cut: both ways give the same.
@@ -101,23 +102,26 @@ class Vocabulary:
         return len(self.head) + len(self.shared)
 
 
-class Classes(dict):
-    """Word -> class: those of the head, and others as they are met."""
+class Endings(dict):
+    """Last bytes of a word -> its shared class, as they are met; there are no more than endings of ENDING bytes."""
 
-    def __init__(self, v: Vocabulary):
-        super().__init__(v.head)
-        self.head, self.shared = v.head, len(v.shared)
+    def __init__(self, shared: int):
+        super().__init__()
+        self.shared = shared
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > len(self.head) + REMEMBERED:
-            self.clear()
-            self.update(self.head)
-        self[word] = k = 1 + zlib.crc32(word[-ENDING:]) % self.shared
+    def __missing__(self, ending: bytes) -> int:
+        self[ending] = k = 1 + zlib.crc32(ending) % self.shared
         return k
 
 
+def _classes(words: Iterable[bytes], head: dict[bytes, int], endings: Endings) -> list[int]:
+    """Class of each word; 0, the end's, is none of them."""
+    own = head.get
+    return [own(w) or endings[w[-ENDING:]] for w in words]
+
+
 def _shared_class(word: Column, shared: int) -> Column:
-    """The class that Classes gives a word outside the head, less one."""
+    """The class that Endings gives a word outside the head, less one."""
     return F.pmod(F.crc32(F.substring(F.encode(word, "utf-8"), -ENDING, ENDING)), F.lit(shared)).cast("int")
 
 
@@ -184,32 +188,62 @@ class LogBilinear:
         n = len(self.noise)
         offset = np.log(NOISE * self.noise).astype(np.float32)
         edges = np.cumsum(self.noise)
+        scatter = lambda rows, values: np.stack([np.bincount(rows, x, n) for x in values])  # noqa: E731  sums by class, a row for each dimension
         for h, w in batches:
             p, m = self.params, len(w)
-            r = self.context(h)
+            h, w = h.T.astype(np.intp), w.astype(np.intp)
+            # Vectors are columns here. What is linear in them is done once for each class, not for each token.
+            r = sum(np.take((p["R"] @ p["C"][i]).T, h[i], 1) for i in range(CONTEXT))
             noise = np.minimum(np.searchsorted(edges, rng.random(NOISE)), n - 1)
-            true = (r * p["Q"][w]).sum(1) + p["b"][w] - offset[w]
-            false = r @ p["Q"][noise].T + p["b"][noise] - offset[noise]
+            target, drawn = np.take(p["Q"].T, w, 1), p["Q"][noise]
+            true = np.einsum("dm,dm->m", r, target) + (p["b"] - offset)[w]
+            down = drawn @ r
+            down += (p["b"] - offset)[noise][:, None]
             up = (1 / (1 + np.exp(np.clip(true, -30, 30)))) / m  # d loss / d s, data
-            down = (1 / (1 + np.exp(-np.clip(false, -30, 30)))) / m  # noise; NOISE words stand for NOISE draws of each token
+            np.clip(down, -30, 30, out=down)  # noise; NOISE words stand for NOISE draws of each token
+            np.exp(np.negative(down, out=down), out=down)
+            down += 1
+            np.divide(np.float32(1 / m), down, out=down)
             grad = {k: np.zeros_like(v) for k, v in p.items()}
-            scatter = lambda rows, values: np.stack([np.bincount(rows, values[:, d], n) for d in range(values.shape[1])], 1)
-            grad["Q"] += scatter(w, up[:, None] * r)
-            np.subtract.at(grad["Q"], noise, down.T @ r)
+            grad["Q"] += scatter(w, up * r).T
+            np.subtract.at(grad["Q"], noise, down @ r.T)
             grad["b"] += np.bincount(w, up, n)
-            np.subtract.at(grad["b"], noise, down.sum(0))
-            back = up[:, None] * p["Q"][w] - down @ p["Q"][noise]
+            np.subtract.at(grad["b"], noise, down.sum(1))
+            back = up * target - drawn.T @ down
             for i in range(CONTEXT):
-                grad["C"][i] = p["R"][h[:, i]].T @ back
-                grad["R"] += scatter(h[:, i], back @ p["C"][i].T)
+                at = scatter(h[i], back)
+                grad["C"][i] = p["R"].T @ at.T
+                grad["R"] += (p["C"][i] @ at).T
             for k, g in grad.items():
                 squares[k] += g * g
                 p[k] += STEP * g / np.sqrt(squares[k])
             seen += m
         return seen
 
-    def log10(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Normalised log10 p(w | h): one matrix product for each block of distinct contexts."""
+    def norms(self) -> np.ndarray | None:
+        """Logarithm of the sum of exp s(. | h) for each context, by its two classes; None where these are too many.
+
+        The scores of a context are those of its first class plus those of its second, so the sums of all contexts
+        are one product of matrices of exponentials. None, too, where these lie too far apart for it.
+        """
+        n, p = len(self.noise), {k: v.astype(np.float64) for k, v in self.params.items()}
+        if n * n > NORMS:
+            return None
+        first, second = p["R"] @ p["C"][0] @ p["Q"].T + p["b"], p["R"] @ p["C"][1] @ p["Q"].T
+        most = [x.max(1, keepdims=True) for x in (first, second)]
+        sums = np.exp(np.subtract(first, most[0], out=first), out=first) @ np.exp(np.subtract(second, most[1], out=second), out=second).T
+        return None if sums.min() < 1e-200 else np.log(sums, out=sums) + most[0] + most[1].T
+
+    def log10(self, h: np.ndarray, w: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
+        """Normalised log10 p(w | h). Without `norms`, one matrix product for each block of distinct contexts."""
+        if norms is not None:
+            p, out = self.params, norms[h[:, 0], h[:, 1]]
+            of = [p["R"] @ p["C"][i] for i in range(CONTEXT)]
+            for at in range(0, len(w), BATCH):
+                some = slice(at, at + BATCH)
+                r = sum(np.take(of[i], h[some, i], 0) for i in range(CONTEXT))
+                out[some] = (np.einsum("md,md->m", r, np.take(p["Q"], w[some], 0)) + p["b"][w[some]] - out[some]) / math.log(10)
+            return out
         n = len(self.noise)
         code = h[:, 0].astype(np.int64) * n + h[:, 1]
         distinct, inverse = np.unique(code, return_inverse=True)
@@ -229,10 +263,10 @@ class LogBilinear:
         return out
 
 
-def _sequence(words: list[bytes], classes: Classes) -> np.ndarray:
+def _sequence(words: list[bytes], head: dict[bytes, int], endings: Endings) -> np.ndarray:
     """Class ids of a text and its end, after CONTEXT ends as the start."""
     ids = np.zeros(len(words) + CONTEXT + 1, np.int32)
-    ids[CONTEXT:-1] = np.fromiter(map(classes.__getitem__, words), np.int32, len(words))
+    ids[CONTEXT:-1] = _classes(words, head, endings)
     return ids
 
 
@@ -261,7 +295,7 @@ def train(docs: DataFrame, v: Vocabulary) -> LogBilinear:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a shard stand together, in an order of their own."""
         vocab, noise = shipped.value
-        classes = Classes(vocab)
+        endings = Endings(len(vocab.shared))
 
         def texts() -> Iterator[tuple[int, str | None]]:
             for batch in batches:
@@ -272,7 +306,7 @@ def train(docs: DataFrame, v: Vocabulary) -> LogBilinear:
             parts: list[np.ndarray] = []
             size = 0
             for _, text in rows:
-                parts.append(_sequence(_words(text), classes))
+                parts.append(_sequence(_words(text), vocab.head, endings))
                 size += len(parts[-1])
                 if size > 64 * BATCH:
                     yield from mixed(parts)
@@ -318,6 +352,37 @@ def _added(models: Iterable[tuple[int, float, object]]) -> tuple[float, np.ndarr
     return n, total
 
 
+class Scorer:
+    """What a worker needs to score texts: the model, and the terms of the words held, by their index.
+
+    A missing word has the last index. There the terms are 0, and the class is set by the caller.
+    """
+
+    def __init__(self, v: Vocabulary, params: dict[str, np.ndarray], noise: np.ndarray, each: list[float]):
+        self.lm, self.head, self.endings = LogBilinear(noise), v.head, Endings(len(v.shared))
+        self.lm.params = {k: p.astype(np.float64) for k, p in params.items()}  # sums that hardly depend on the batch
+        self.norms = self.lm.norms()
+        counts = np.fromiter(v.counts.values(), np.float64, len(v.counts))
+        self.index = {w: i for i, w in enumerate(v.counts)}.get
+        self.base = np.append(np.log10(counts + 1), 0.0)
+        self.classes = np.array([*_classes((w if w != _END else b"" for w in v.counts), v.head, self.endings), 1], np.int32)
+        own = np.fromiter(map(v.head.__contains__, v.counts), bool, len(counts))
+        within = np.array(each)[np.where(own, 0, self.classes[:-1] - 1)]
+        self.inside = np.append(np.where(own, 0.0, np.log10(counts * within, where=~own, out=np.zeros(len(counts)))), 0.0)
+        self.end_base, self.end_known = (math.log10(v.counts[_END] + 1), 1) if _END in v.counts else (0.0, 0)
+
+
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(name: str, make: Callable[[], Scorer]) -> Scorer:
+    """The scorer of a run, made once in each worker that takes several of its tasks; one at a time is held."""
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = make()
+    return _SCORERS[name]
+
+
 def score_documents(docs: DataFrame, classes: int | None = None, held: int = HELD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`.
 
@@ -337,20 +402,11 @@ def score_documents(docs: DataFrame, classes: int | None = None, held: int = HEL
     #: What the count of a word is multiplied with for its probability within its shared class.
     each = [(1 - u) / max(c, 1) for u, c in zip(v.unseen, v.shared)]
     tail = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int32()), ("k", pa.int32())]))
+    name = uuid.uuid4().hex
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("neural", pa.float64()), ("tail", tail)])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, params, noise = shipped.value
-        lm = LogBilinear(noise)
-        lm.params = {k: p.astype(np.float64) for k, p in params.items()}  # sums that hardly depend on the batch
-        head, known, classes = vocab.head, vocab.counts, Classes(vocab)
-        log = {c: math.log10(c + 1) for c in set(known.values())}
-        # Terms of the words held, and of a missing one at the end, where index -1 finds it.
-        index = {w: i for i, w in enumerate(known)}.get
-        base_of = np.array([*(log[c] for c in known.values()), 0.0])
-        inside_of = np.array([*(0.0 if w in head else math.log10(c * each[classes[w] - 1]) for w, c in known.items()), 0.0])
-        class_of = np.array([*(classes[w] for w in known), 1], np.int32)
-        end_base, end_known = log.get(known.get(_END, -1), 0.0), int(_END in known)
+        of = _scorer(name, lambda: Scorer(*shipped.value, each))
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
             parts: list[np.ndarray] = []
@@ -358,7 +414,7 @@ def score_documents(docs: DataFrame, classes: int | None = None, held: int = HEL
             def flush() -> pa.RecordBatch:
                 h, w = _contexts(parts)
                 lengths = np.array([len(x) - CONTEXT for x in parts])
-                sums = np.add.reduceat(lm.log10(h, w), np.concatenate(([0], np.cumsum(lengths)[:-1])))
+                sums = np.add.reduceat(of.lm.log10(h, w, of.norms), np.concatenate(([0], np.cumsum(lengths)[:-1])))
                 rows[5] = [float(a + b) for a, b in zip(sums, rows[5])]
                 out = pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(rows, schema)], schema=schema)
                 for x in rows:
@@ -370,14 +426,14 @@ def score_documents(docs: DataFrame, classes: int | None = None, held: int = HEL
             size = 0
             for doc_id, held_out, cell in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text")):
                 words = _words(cell.as_py())
-                at = np.fromiter(map(index, words, repeat(-1)), np.int64, len(words))
+                at = np.fromiter(map(of.index, words, repeat(-1)), np.int64, len(words))
                 missing = np.flatnonzero(at < 0)
                 others = [words[i] for i in missing.tolist()]
-                rare = [{"word": w.decode(), "tf": n, "k": classes[w] - 1} for w, n in Counter(others).items()]
-                base, inside, n_known = float(base_of[at].sum()) + end_base, float(inside_of[at].sum()), len(words) - len(missing) + end_known
+                rare = [{"word": w.decode(), "tf": n, "k": of.endings[w[-ENDING:]] - 1} for w, n in Counter(others).items()]
+                base, inside, n_known = float(of.base[at].sum()) + of.end_base, float(of.inside[at].sum()), len(words) - len(missing) + of.end_known
                 ids = np.zeros(len(words) + CONTEXT + 1, np.int32)
-                ids[CONTEXT:-1] = class_of[at]
-                ids[CONTEXT + missing] = [classes[w] for w in others]
+                ids[CONTEXT:-1] = of.classes[at]
+                ids[CONTEXT + missing] = _classes(others, of.head, of.endings)
                 parts.append(ids)
                 for column, value in zip(rows, (doc_id, held_out, len(words) + 1, n_known, base, inside, rare)):
                     column.append(value)

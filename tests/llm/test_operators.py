@@ -296,6 +296,27 @@ def test_lm_is_normalised_and_learns_context():
     assert lm.log10(h, t).mean() > np.log10(uni[t]).mean() + 0.3
 
 
+def test_lm_norms_are_computed_once_for_all_contexts(monkeypatch):
+    rng = np.random.default_rng(6)
+    lm = lm_scoring.LogBilinear(np.full(12, 1 / 12))
+    lm.params = {k: rng.standard_normal(x.shape) for k, x in lm.params.items()}
+    h, w = rng.integers(0, 12, (20000, 2)), rng.integers(0, 12, 20000)
+    blocks, norms = lm.log10(h, w), lm.norms()
+    scores = np.array([[lm.params["R"][a] @ lm.params["C"][0] + lm.params["R"][b] @ lm.params["C"][1] for b in range(12)] for a in range(12)]) @ lm.params["Q"].T + lm.params["b"]
+    assert np.allclose(norms, np.log(np.exp(scores).sum(2)), rtol=1e-12)
+    with monkeypatch.context() as m:
+        m.setattr(lm, "context", None)  # no text asks for sums over the classes again
+        assert np.allclose(lm.log10(h, w, norms), blocks, rtol=1e-9)
+        m.setattr(lm_scoring, "NORMS", 143)
+        assert lm.norms() is None
+    lm.params["Q"] *= 1000  # exponentials too far apart for a product
+    assert lm.norms() is None and np.isfinite(lm.log10(h, w)).all()
+    made = []
+    for name in ("a", "a", "b", "b"):
+        lm_scoring._scorer(name, lambda: made.append(1))
+    assert len(made) == 2
+
+
 def test_toxicity_on_held_out_rows(spark):
     random.seed(5)
     rows, labels = [], []
