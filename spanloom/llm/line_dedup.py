@@ -11,6 +11,8 @@ what they cover is deleted. Only DataFrame functions.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +22,10 @@ from .common import stage
 CUT = r"(?<=[\n \t])(?=\S)(?<=\n|[.!?,;:|d][ \t])"
 #: Lines of which one is selected, and words with which a line is selected anyway: where lines are long, a window is too.
 WINDOW, LONG = 4, 10
-#: White space as Unicode has it, beside the blank and the line feed, and what tells that a line's blanks are not its
-#: words: substrings, since a class of so many ranges is slow where each character of each text is looked up in it.
+#: White space as Unicode has it, beside the blank and the line feed, and what tells that a line's blanks are not its words.
 OTHER = [chr(c) for c in (0x9, 0xB, 0xC, 0xD, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: First bytes of most of them.
+GENERAL = b"\xe2\x80"
 DOUBLE = ["  ", "\n\n", " \n", "\n "]
 WORD = rf"[^ \n{''.join(f'\\x{{{ord(c):X}}}' for c in OTHER)}]+"
 #: Words of whole lines in a run that is deleted: a passage of 50 words, less a part of a line and a window.
@@ -36,10 +39,17 @@ def _lines(text: Column) -> Column:
 
 
 def _uneven(text: Column) -> Column:
-    found = text.startswith(" ") | text.startswith("\n")
-    for part in [*OTHER, *DOUBLE]:
-        found = found | text.contains(part)
-    return found
+    """Whether `text` has white space other than single blanks and line feeds between words.
+
+    One look at each character for what a Latin-1 table holds, substrings for the rest, since a class of so many ranges
+    is slow; the rest is sought in texts beyond ASCII only, and what begins with the bytes E2 80 only where these stand.
+    """
+    any_of = lambda parts: functools.reduce(lambda a, b: a | b, [text.contains(x) for x in parts])
+    low, high = [c for c in OTHER if c <= "\xff"], [c for c in OTHER if c > "\xff"]
+    general = [c for c in high if c.encode().startswith(GENERAL)]
+    beyond = any_of(c for c in high if c not in general) | (text.contains(F.lit(GENERAL).cast("string")) & any_of(general))
+    latin = f"[{''.join(f'\\x{{{ord(c):X}}}' for c in low)}]"
+    return text.startswith(" ") | text.startswith("\n") | any_of(DOUBLE) | text.rlike(latin) | ((F.length(text) < F.octet_length(text)) & beyond)
 
 
 def _spots(h: Column, w: Column, least: int) -> Column:

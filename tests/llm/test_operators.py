@@ -317,6 +317,18 @@ def test_lm_norms_are_computed_once_for_all_contexts(monkeypatch):
     assert len(made) == 2
 
 
+def test_white_space_is_told_by_few_passes(spark):
+    texts = ["", "a", "a ", "a b", "a\nb", " a", "\na", "a  b", "a\n\nb", "a \nb", "a\n b", "é b", "a—b", "“é” b", "x\x00y", "x\x7fy", "x\u200by", "x\ufeffy"]
+    texts += [f"x{c}y{more}" for c in map(chr, range(0x3002)) if c.isspace() and c not in " \n" for more in ("", " é", " “é”", " 日本")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.text: r.uneven for r in df.select("text", line_dedup._uneven(F.col("text")).alias("uneven")).collect()}
+    other = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]")
+    assert got == {t: bool(other.search(t)) for t in texts}
+    shown = df.select(line_dedup._uneven(F.col("text")))._jdf.queryExecution().analyzed().toString().lower()
+    ascii_only = shown[: shown.index("octet_length")]
+    assert ascii_only.count("contains(") == len(line_dedup.DOUBLE)  # so many substrings, and one class, for plain texts
+
+
 def test_toxicity_on_held_out_rows(spark):
     random.seed(5)
     rows, labels = [], []
