@@ -40,7 +40,9 @@ def training_sets(folded: DataFrame, k: int) -> DataFrame:
 
 def out_of_fold(folded: DataFrame, k: int, kind: str = "federated", **options) -> DataFrame:
     """`folded` (seed, fold, site, x, y) with p from the model that did not see the row; kind: local, federated, centralized or private."""
-    train = training_sets(folded, k)
+    read = {"seed", "fold", "site", "x", "y", options.get("weight")}
+    train = folded.select(*[c for c in folded.columns if c in read])
+    options = {"expand": lambda rows: training_sets(rows, k)} | options
     if kind == "local":
         keys = ("seed", "held_out", "site")
         weights = models.newton_fit(train, keys, **options)
