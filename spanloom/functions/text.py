@@ -124,10 +124,20 @@ def find(text: Column, pattern: str | Column, group: int | None = None, gate: st
     pieces are added up in turn: what lies before a match, the match; or what lies before, the groups, the match.
     gate: a cheaper regex without which nothing can match. A pattern column may be built from data.
     """
+    found = F.coalesce(spans_of(cut(text, pattern, group), group), F.array().cast(SPAN))
+    return F.when(text.rlike(gate), found).otherwise(F.array().cast(SPAN)) if gate else found
+
+
+def cut(text: Column, pattern: str | Column, group: int | None = None) -> Column:
+    """The pieces of find: null for a null text or pattern."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
     parts = ["$0"] if group is None else [f"${group - 1}", f"${group}", "$0"]
-    pieces = F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("\x02")), p, F.lit(MARK + MARK.join(parts) + MARK)), MARK, -1)
-    turns, at_value = len(parts) + 1, 1 if group is None else 2
+    return F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit("\x02")), p, F.lit(MARK + MARK.join(parts) + MARK)), MARK, -1)
+
+
+def spans_of(pieces: Column, group: int | None = None) -> Column:
+    """Pieces of cut, added up to the spans that matched."""
+    turns, at_value = (2, 1) if group is None else (4, 2)
 
     def step(acc: Column, x: Column) -> Column:
         turn, at, n = acc["turn"], acc["at"], F.length(x)
@@ -135,12 +145,11 @@ def find(text: Column, pattern: str | Column, group: int | None = None, gate: st
         span = F.struct(start.alias("start"), (start + n).alias("end"), x.alias("text"))
         out = F.when(turn == at_value, F.array_append(acc["out"], span)).otherwise(acc["out"])
         moved = at + n if group is None else F.when((turn == 0) | (turn == 3), at + n).otherwise(at)
-        return F.struct(((turn + 1) % turns).alias("turn"), moved.alias("at"), F.when(turn == 1, n).otherwise(acc["lead"]).alias("lead"), out.alias("out"))
+        lead = [] if group is None else [F.when(turn == 1, n).otherwise(acc["lead"]).alias("lead")]
+        return F.struct(((turn + 1) % turns).alias("turn"), moved.alias("at"), *lead, out.alias("out"))
 
-    none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("turn"), F.lit(0).alias("at"), F.lit(0).alias("lead"), none.alias("out"))
-    found = F.coalesce(F.aggregate(pieces, start, step, lambda acc: acc["out"]), none)
-    return F.when(text.rlike(gate), found).otherwise(none) if gate else found
+    zero = [F.lit(0).alias(n) for n in (("turn", "at") if group is None else ("turn", "at", "lead"))]
+    return F.aggregate(pieces, F.struct(*zero, F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
 
 
 def trimmed(span: Column) -> Column:
